@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,33 @@ def driver_sized(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimizer's size estimate of the plan is under the limit."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit_bytes
+
+
+_written: list = []
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows once as a table in the shared folder and read them from there.
+
+    Cuts lineage, survives lost executors, and later readers scan only the columns they need.
+    The folder is the one of ``spark.checkpoint.dir``; the tables are removed when Python ends.
+    """
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexmill-checkpoints"
+    path = f"{root.rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone already
+            pass
+    _written.clear()
