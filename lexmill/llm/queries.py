@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexmill.llm import spans
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -10,7 +11,17 @@ def p8_ids(spark, root):
     return token_ids(table(spark, root, "documents"))
 
 
+def p10_found(spark, root):
+    return spans.shared_span_pairs(table(spark, root, "documents"))
+
+
+def p10_shared(spark, root):
+    return spans.shared_share(table(spark, root, "documents"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_shared": p10_shared,
     "p8_ids": p8_ids,
 }
 
