@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import spans
+from lexmill.llm import leaks, spans
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -11,6 +11,14 @@ def p8_ids(spark, root):
     return token_ids(table(spark, root, "documents"))
 
 
+def p9_found(spark, root):
+    return leaks.leaked_documents(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_report(spark, root):
+    return leaks.leak_report(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p10_found(spark, root):
     return spans.shared_span_pairs(table(spark, root, "documents"))
 
@@ -20,6 +28,8 @@ def p10_shared(spark, root):
 
 
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
     "p8_ids": p8_ids,
