@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lexmill.operators import orphans
+from lexmill.session import table
+
+
+def p1_found(spark, root):
+    return orphans.legal_orphans(*(table(spark, root, n) for n in ("clause_analyses", "gold_queries", "statute_articles", "judgement_chunks")))
+
+
+def p1_counts(spark, root):
+    return orphans.orphan_counts(p1_found(spark, root), "src_table", "month_key")
+
+
+QUERIES: dict = {"p1_found": p1_found, "p1_counts": p1_counts}
 SQL: dict[str, str] = {}
