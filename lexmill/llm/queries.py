@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from lexmill.llm import leaks, spans
+from lexmill.llm import canon, leaks, spans
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
 
+def p2_found(spark, root):
+    raw = canon.typed_citations(table(spark, root, "clause_analyses"), table(spark, root, "citation_results"))
+    return canon.canonical_articles(raw, table(spark, root, "statute_articles"))
+
+
 def p8_ids(spark, root):
     return token_ids(table(spark, root, "documents"))
 
@@ -28,6 +33,7 @@ def p10_shared(spark, root):
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p10_found": p10_found,
