@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import canon, leaks, spans
+from lexmill.llm import canon, leaks, spans, together
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -12,6 +12,20 @@ def p2_found(spark, root):
     return canon.canonical_articles(raw, table(spark, root, "statute_articles"))
 
 
+def _p6_pairs(spark, root):
+    return together.pair_counts(together.article_items(*(table(spark, root, n) for n in ("clause_analyses", "triangulated_evidence", "statute_articles"))))
+
+
+def p6_found(spark, root):
+    return together.lifted(_p6_pairs(spark, root)).selectExpr("field", "item_a AS article_a", "item_b AS article_b")
+
+
+def p6_corroborated(spark, root):
+    """Support and lift of the pairs of corroborated articles in at least four analyses."""
+    pairs = together.pair_counts(together.corroborated_items(table(spark, root, "triangulated_evidence")))
+    return pairs.where("n_ab >= 4").selectExpr("item_a", "item_b", "n_ab", "n_a", "n_b", "round(n_ab * n / (n_a * n_b), 4) AS lift")
+
+
 def p8_ids(spark, root):
     return token_ids(table(spark, root, "documents"))
 
@@ -38,7 +52,18 @@ QUERIES = {
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p6_found": p6_found,
+    "p6_corroborated": p6_corroborated,
     "p8_ids": p8_ids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_corroborated": """
+WITH i AS (SELECT DISTINCT analysis_id AS b, unnest(cross_corroborated) AS item FROM triangulated_evidence),
+     k AS (SELECT b, item FROM i WHERE item IS NOT NULL AND item <> '' AND b IS NOT NULL),
+     c AS (SELECT item, count(*) AS c FROM k GROUP BY item),
+     t AS (SELECT count(DISTINCT b) AS n FROM k),
+     p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM k x JOIN k y ON x.b = y.b AND x.item < y.item GROUP BY 1, 2)
+SELECT item_a, item_b, n_ab, ca.c AS n_a, cb.c AS n_b, round(n_ab * n / CAST(ca.c * cb.c AS DOUBLE), 4) AS lift
+FROM p JOIN c ca ON ca.item = item_a JOIN c cb ON cb.item = item_b CROSS JOIN t WHERE n_ab >= 4""",
+}
