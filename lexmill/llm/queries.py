@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import canon, leaks, spans, together
+from lexmill.llm import canon, leaks, pieces, spans, together
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -12,6 +12,21 @@ def p2_found(spark, root):
     return canon.canonical_articles(raw, table(spark, root, "statute_articles"))
 
 
+def p5_found(spark, root):
+    return pieces.oversized(table(spark, root, "judgement_chunks"))
+
+
+def p5_pieces(spark, root):
+    return pieces.cut_pieces(table(spark, root, "judgement_chunks").select("chunk_id", "content").distinct())
+
+
+def p5_counts(spark, root):
+    """Number of oversized chunks by section and kind of cut."""
+    found = pieces.oversized(table(spark, root, "judgement_chunks"))
+    sections = table(spark, root, "judgement_chunks").selectExpr("chunk_id", "coalesce(section, '') AS section").distinct()
+    return found.join(sections, "chunk_id").groupBy("section", "cut_kind").count().withColumnRenamed("count", "n_chunks")
+
+
 def _p6_pairs(spark, root):
     return together.pair_counts(together.article_items(*(table(spark, root, n) for n in ("clause_analyses", "triangulated_evidence", "statute_articles"))))
 
@@ -52,12 +67,22 @@ QUERIES = {
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p6_corroborated": p6_corroborated,
     "p8_ids": p8_ids,
 }
 
+_P5 = """WITH c AS (SELECT chunk_id, coalesce(section, '') AS section, content FROM judgement_chunks WHERE length(content) > 800),
+     m AS (SELECT chunk_id, section, list_max(list_transform(string_split(regexp_replace(regexp_replace(content, '[.](\\s|$)', chr(1) || '\\1', 'g'), '[。！？；!?;\\n\\r]', chr(1), 'g'), chr(1)), lambda x: length(x))) AS longest FROM c),
+     k AS (SELECT chunk_id, section, max(CASE WHEN longest > 800 THEN 'hard' ELSE 'boundary' END) AS cut_kind FROM m GROUP BY chunk_id, section)
+"""
+
 SQL: dict[str, str] = {
+    "p5_found": _P5 + "SELECT chunk_id, max(cut_kind) AS cut_kind FROM k GROUP BY chunk_id",
+    "p5_counts": _P5 + "SELECT section, f.cut_kind, count(*) AS n_chunks FROM k JOIN (SELECT chunk_id, max(cut_kind) AS cut_kind FROM k GROUP BY chunk_id) f USING (chunk_id) GROUP BY 1, 2",
     "p6_corroborated": """
 WITH i AS (SELECT DISTINCT analysis_id AS b, unnest(cross_corroborated) AS item FROM triangulated_evidence),
      k AS (SELECT b, item FROM i WHERE item IS NOT NULL AND item <> '' AND b IS NOT NULL),

@@ -28,7 +28,7 @@ PIECE_CHARS = 1 << 15
 RUN_CHARS = 256
 
 # White space as the pattern's \s has it (Unicode White_Space), which differs from Python's \s.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LONG_RUN = re.compile(f"[{_SPACE}]{{{RUN_CHARS},}}")
 # A token never goes on from a character that is no white space to one that is.
 _SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
