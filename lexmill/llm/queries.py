@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import canon, leaks, pieces, spans, together
+from lexmill.llm import canon, consensus, leaks, pieces, spans, together
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -41,6 +41,25 @@ def p6_corroborated(spark, root):
     return pairs.where("n_ab >= 4").selectExpr("item_a", "item_b", "n_ab", "n_a", "n_b", "round(n_ab * n / (n_a * n_b), 4) AS lift")
 
 
+def _p7(spark, root):
+    return consensus.project_votes(*(table(spark, root, n) for n in ("cross_model_judge", "reglab_checkpoint", "rater_labels")))
+
+
+def p7_found(spark, root):
+    labels, _ = consensus.consensus(*_p7(spark, root))
+    return labels.selectExpr("item AS item_id", "label AS consensus")
+
+
+def p7_raters(spark, root):
+    _, raters = consensus.consensus(*_p7(spark, root))
+    return raters.selectExpr("task", "rater", "n_votes", "round(reliability, 4) AS reliability")
+
+
+def p7_agreement(spark, root):
+    votes, items, _ = _p7(spark, root)
+    return consensus.alpha(consensus.one_vote(votes).join(items, ["task", "item"], "left_semi"))
+
+
 def p8_ids(spark, root):
     return token_ids(table(spark, root, "documents"))
 
@@ -72,6 +91,9 @@ QUERIES = {
     "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p6_corroborated": p6_corroborated,
+    "p7_found": p7_found,
+    "p7_raters": p7_raters,
+    "p7_agreement": p7_agreement,
     "p8_ids": p8_ids,
 }
 
