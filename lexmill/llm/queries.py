@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import canon, consensus, leaks, pieces, spans, together
+from lexmill.llm import canon, consensus, defects, leaks, pieces, spans, together
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -12,6 +12,17 @@ def p2_found(spark, root):
     return canon.canonical_articles(raw, table(spark, root, "statute_articles"))
 
 
+def p4_found(spark, root):
+    return defects.pair_defects(table(spark, root, "clause_analyses"))
+
+
+def p4_counts(spark, root):
+    """Number of defective answers by model, source, field and defect."""
+    rows = table(spark, root, "clause_analyses")
+    of = rows.groupBy("analysis_id").agg({"model": "min", "llm_source": "min"}).toDF("analysis_id", "model", "llm_source")
+    return defects.pair_defects(rows).join(of, "analysis_id").groupBy("model", "llm_source", "field", "defect").count().withColumnRenamed("count", "n_answers")
+
+
 def p5_found(spark, root):
     return pieces.oversized(table(spark, root, "judgement_chunks"))
 
@@ -86,6 +97,8 @@ QUERIES = {
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p5_counts": p5_counts,
