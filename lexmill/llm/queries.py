@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import canon, consensus, defects, leaks, pieces, spans, together
+from lexmill.llm import canon, consensus, defects, leaks, pieces, scan, spans, together
 from lexmill.llm.tokenize import token_ids
 from lexmill.session import table
 
@@ -12,6 +12,14 @@ def p2_found(spark, root):
     return canon.canonical_articles(raw, table(spark, root, "statute_articles"))
 
 
+def p3_found(spark, root):
+    return scan.noise_kinds(table(spark, root, "extracted_docs"), table(spark, root, "clauses"))
+
+
+def p3_repaired(spark, root):
+    return scan.repaired_texts(table(spark, root, "extracted_docs"), table(spark, root, "clauses"))
+
+
 def p4_found(spark, root):
     return defects.pair_defects(table(spark, root, "clause_analyses"))
 
@@ -97,6 +105,8 @@ QUERIES = {
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
