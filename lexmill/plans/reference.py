@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexmill.operators import orphans
+from lexmill.plans import retrieval_queries, text_queries
 from lexmill.session import table
 
 
@@ -14,5 +15,9 @@ def p1_counts(spark, root):
     return orphans.orphan_counts(p1_found(spark, root), "src_table", "month_key")
 
 
+_PARTS = (text_queries, retrieval_queries)
 QUERIES: dict = {"p1_found": p1_found, "p1_counts": p1_counts}
 SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
