@@ -95,7 +95,7 @@ def communities(edges: DataFrame, seed: int = 42, rounds: int = 15) -> DataFrame
         found = louvain(list(zip(frame["a"], frame["b"], frame["w"])), seed)
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
-    return edges.groupBy(F.lit(1)).applyInPandas(search, f"node {kind}, community {kind}")
+    return edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(search, f"node {kind}, community {kind}")
 
 
 def louvain(edges: list[tuple], seed: int = 42) -> dict:

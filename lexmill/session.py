@@ -57,6 +57,11 @@ def driver_sized(df: DataFrame, limit_bytes: int) -> bool:
     return int(str(size)) <= limit_bytes
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; one of this machine's only where it names none."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexmill-checkpoints").rstrip("/")
+
+
 _written: list = []
 
 
@@ -67,8 +72,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The folder is the one of ``spark.checkpoint.dir``; the tables are removed when Python ends.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexmill-checkpoints"
-    path = f"{root.rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove)
