@@ -36,6 +36,19 @@ REFUSAL = re.compile(
     re.I,
 )
 
+# Fragments of which every match of REFUSAL holds one (lower case).
+_FRAGMENTS_HAN = ("抱歉", "對不起", "对不起", "遺憾", "遗憾", "不好意思", "無法", "无法", "不便", "恕", "代替", "無權", "无权", "沒有辦法", "没有办法", "超出我", "模型", "敏感", "政策", "不予", "奉告", "尋", "洽專業", "申し訳", "お答え", "ごめん", "죄송", "답변")
+_FRAGMENTS_LATIN = ("sorry", "can", "unable", "able to", "decline", "unfortunate", "ai", "language model", "i ", "legal advice", "against", "my", "our", "what", "help", "assist", "seek", "leider", "entschuldigung", "désolé", "peux", "siento", "puedo", "dispiace", "posso", "xin lỗi", "không thể")
+
+
+def cues(text: str) -> int:
+    """Number of different cues of declining in the text."""
+    low = text.lower()
+    if any(f in low for f in _FRAGMENTS_LATIN) or (not low.isascii() and any(f in low for f in _FRAGMENTS_HAN)):
+        return len(set(REFUSAL.findall(low)))
+    return 0
+
+
 # Common words of English.
 ENGLISH = set("the a an of to in and or for on by with at from as is are was were be been not no it its this that these those which who if then than into under over within without before after between during upon shall must may can will would should any all each per about against through there their such other only also we you i he she they have has had do does".split())
 
@@ -118,22 +131,37 @@ def is_empty(texts: list[str]) -> bool:
     return all(core(t) in PLACEHOLDERS for t in texts)
 
 
-def script(text: str) -> str:
-    """zh, ja, ko, en, latin (another language in Latin letters), other, or '' if there is too little to tell."""
-    han = kana = hangul = latin = other = 0
-    for c in text:
-        n = ord(c)
+class _Kinds(dict):
+    """Code point -> one letter for its script, or a blank."""
+
+    def __missing__(self, n):
+        c = chr(n)
         if 0x4E00 <= n <= 0x9FFF or 0x3400 <= n <= 0x4DBF:
-            han += 1
+            kind = "h"
         elif 0x3040 <= n <= 0x30FF:
-            kana += 1
+            kind = "k"
         elif 0xAC00 <= n <= 0xD7AF:
-            hangul += 1
-        elif c.isalpha():
-            if n < 0x250 or 0x1E00 <= n <= 0x1EFF:
-                latin += 1
-            else:
-                other += 1
+            kind = "g"
+        elif not c.isalpha():
+            kind = " "
+        else:
+            kind = "l" if n < 0x250 or 0x1E00 <= n <= 0x1EFF else "o"
+        self[n] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+_LETTERS = re.compile("[A-Za-z]+")
+
+
+def script(text: str) -> str:
+    """zh, ja, ko, en, latin (another language in Latin letters), other, or '' if there is too little to tell."""
+    if text.isascii():
+        han = kana = hangul = other = 0
+        latin = sum(map(len, _LETTERS.findall(text)))
+    else:
+        kinds = text.translate(_KINDS)
+        han, kana, hangul, latin, other = (kinds.count(k) for k in "hkglo")
     most = max(han * 2 + kana, kana * 3, hangul * 2, latin / 2, other)
     if most < 2:
         return ""
@@ -164,14 +192,14 @@ class Prompt:
         self.grams: dict[int, set[str]] = {}
         self.script = script(text or "")
 
-    def overlap(self, segment: str) -> float:
-        c = core(segment)
+    def overlap(self, c: str) -> float:
+        """Share of the runs of a segment's core that the prompt holds."""
         k = 10 if c.isascii() else 4  # letters tell less than ideographs
         if len(c) < k:
             return float(bool(c) and len(self.core) >= k and c in self.core)
         if k not in self.grams:
             self.grams[k] = {self.core[i : i + k] for i in range(len(self.core) - k + 1)}
-        return sum(c[i : i + k] in self.grams[k] for i in range(len(c) - k + 1)) / (len(c) - k + 1)
+        return sum(map(self.grams[k].__contains__, [c[i : i + k] for i in range(len(c) - k + 1)])) / (len(c) - k + 1)
 
 
 def features(parts: list[str], prompt: Prompt, broken: bool) -> tuple[tuple[int, ...], ...]:
@@ -179,14 +207,15 @@ def features(parts: list[str], prompt: Prompt, broken: bool) -> tuple[tuple[int,
     out = []
     for i, part in enumerate(parts):
         on = ["bias"]
-        o = prompt.overlap(part)
+        c = core(part)
+        o = prompt.overlap(c)
         on.append("echo3" if o >= 0.9 else "echo2" if o >= 0.6 else "echo1" if o >= 0.25 else "echo0")
         kind = script(part)
         on.append("unclear" if not kind or not prompt.script else "same" if kind == prompt.script else "unlike")
         if kind not in ("", "zh", "en", prompt.script):
             on.append("strange")
-        cues = len(set(REFUSAL.findall(part)))
-        on.append("cue2" if cues > 1 else "cue1" if cues else "cue0")
+        n = cues(part)
+        on.append("cue2" if n > 1 else "cue1" if n else "cue0")
         last = i == len(parts) - 1
         ended = bool(_END.search(part)) and not re.search(r"(?:…|\.{3})[」”\"]*$", part)
         on.append("ended" if ended else "open")
@@ -195,7 +224,7 @@ def features(parts: list[str], prompt: Prompt, broken: bool) -> tuple[tuple[int,
         if re.search(r"(?:…|\.{3})$", part):
             on.append("dots")
         on += ["first"] * (i == 0) + ["last"] * last + ["alone"] * (len(parts) == 1) + ["last_open"] * (last and not ended) + ["json_open"] * (last and broken)
-        size = len(core(part))
+        size = len(c)
         on += ["short"] * (size < 8) + ["long"] * (size > 60)
         out.append(tuple(_AT[x] for x in on))
     return tuple(out)
@@ -273,7 +302,7 @@ def training_data(rows: list[tuple[str | None, str | None, str | None]]) -> list
             parts = [s for t in texts for s in segments(t)]
             if prompt_text and parts and not broken and not is_empty(texts):
                 p = Prompt(prompt_text)
-                if p.script and not any(REFUSAL.search(s) or p.overlap(s) > 0.6 or script(s) not in ("", p.script) for s in parts) and _END.search(parts[-1]):
+                if p.script and not any(cues(s) or p.overlap(core(s)) > 0.6 or script(s) not in ("", p.script) for s in parts) and _END.search(parts[-1]):
                     sound.append((prompt_text, p, parts))
 
     def add(parts, prompt, tags, broken=False):
@@ -342,7 +371,10 @@ def defect(raw: str | None, prompt: Prompt, field: Field) -> str | None:
 
 
 def trained_field(pairs: DataFrame, key: str, prompt: str, responses: list[str], rows: int = TRAIN_ROWS) -> Field:
-    sample = pairs.select(key, prompt, *responses).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows).collect()
+    # a share of the keys by hash first, so that what comes to the driver doesn't grow with the partitions
+    share = max(1, pairs.count() // (4 * rows))
+    some = pairs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(key, prompt, *responses)
+    sample = some.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(rows).collect()
     return Field().train(training_data([(r[prompt], *(r[c] for c in responses)) for r in sample]))
 
 
