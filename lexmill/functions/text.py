@@ -181,10 +181,12 @@ def robust_json(c: Column, schema: str) -> Column:
 
 
 def bigrams_and_words(c: Column) -> Column:
-    """Tokens for keyword search: words of letters and digits, and pairs of neighbouring ideographs."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+|[一-鿿]+)"), F.lit(1))
-    pairs = lambda r: F.when(r.rlike("^[a-z0-9]") | (F.length(r) < 2), F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2)))
-    return F.flatten(F.transform(runs, pairs))
+    """Tokens for keyword search, in no order: words of letters and digits, pairs of neighbouring ideographs, ideographs that stand alone."""
+    low = F.lower(c)
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
+    pairs = F.regexp_extract_all(low, F.lit("(?=([一-鿿]{2}))"), F.lit(1))
+    alone = F.regexp_extract_all(low, F.lit("(?<![一-鿿])([一-鿿])(?![一-鿿])"), F.lit(1))
+    return F.concat(words, pairs, alone)
 
 
 def kappa_level(k: Column) -> Column:

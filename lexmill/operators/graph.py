@@ -35,7 +35,9 @@ def suggest_missed(edges: DataFrame, cited: DataFrame, top: int = 5, rank_by: st
     deg = weighted_degree(edges)
     wa, wb = deg.select(F.col("node").alias("a"), F.col("weight").alias("wa")), deg.select(F.col("node").alias("b"), F.col("weight").alias("wb"))
     strong = both.join(wa, "a").join(wb, "b").withColumn("part", F.col("w") / F.sqrt(F.col("wa").cast("double") * F.col("wb")) if rank_by == "lift" else F.col("w").cast("double"))
-    asked = cited.select("query_id", F.col("article").alias("a")).distinct()
+    # a number of parts is named, as few small rows fan out to all neighbours of their articles
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = cited.select("query_id", F.col("article").alias("a")).distinct().repartition(parts, "query_id")
     near = asked.join(strong, "a").join(asked.select("query_id", F.col("a").alias("b")), ["query_id", "b"], "left_anti")
     anchor = F.min(F.struct((-F.col("w")).alias("w"), "a"))
     scored = near.groupBy("query_id", F.col("b").alias("article")).agg(F.round(F.sum("part"), 6).alias("score"), F.sum("w").alias("co_count"), anchor.alias("best"))

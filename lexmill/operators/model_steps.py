@@ -81,11 +81,15 @@ def analyse(rows: DataFrame, prompt: Column, make_client=None, **options) -> Dat
     return complete(rows, prompt, make_client, MOCK_ANALYSIS, **options).withColumn("result", robust_json(F.col("answer"), ANALYSIS))
 
 
+def _is(value: str):
+    return lambda x: x == value
+
+
 def audit(rows: DataFrame, prompt: Column, make_client=None, **options) -> DataFrame:
     """Adds counts of supported, partial, unsupported and advisory claims, recounted from the claims themselves."""
     got = complete(rows, prompt, make_client, MOCK_AUDIT, **options).withColumn("_c", F.coalesce(robust_json(F.col("answer"), AUDIT)["claims"], F.array().cast("array<struct<claim string, status string, anchor string, rationale string>>")))
     for status in ("supported", "partial", "unsupported", "advisory"):
-        got = got.withColumn(f"n_{status}", F.size(F.filter("_c", lambda c, s=status: F.lower(c["status"]) == s)))
+        got = got.withColumn(f"n_{status}", F.size(F.filter(F.transform("_c", lambda c: F.lower(c["status"])), _is(status))))
     return got.drop("_c")
 
 

@@ -5,10 +5,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import bigrams_and_words
-from lexmill.session import stage
+from lexmill.session import spread, stage
 
 #: Vectors of queries that are sent to the workers at once; a larger set goes in several blocks.
 QUERY_BLOCK = 4096
+#: Terms of queries that are broadcast to the postings; more are joined by a shuffle.
+WEIGHT_ROWS = 200_000
 #: Largest size of a block's vectors that is broadcast.
 BLOCK_BYTES = 128 << 20
 
@@ -115,14 +117,18 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query
     Documents are counted by term once; only terms of queries are joined with postings. Null and empty
     texts have no terms but count as documents of length 0.
     """
-    rows = documents.select(F.col(key).alias("doc"), F.coalesce(bigrams_and_words(F.col(text)), F.array().cast("array<string>")).alias("terms"))
+    rows = spread(documents.select(F.col(key).alias("doc"), F.col(text).alias("t"))).select("doc", F.coalesce(bigrams_and_words(F.col("t")), F.array().cast("array<string>")).alias("terms"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    postings = stage(rows.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    # the array is made once and exploded with its length beside it
+    sized = rows.select("doc", F.explode(F.array(F.struct(F.col("terms").alias("t"), F.size("terms").alias("dl")))).alias("x"))
+    postings = stage(sized.select("doc", F.col("x.dl").alias("dl"), F.explode("x.t").alias("term")).groupBy("doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))  # one row of totals
     raw = stage(frequency.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "idf")
     idf = raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))).select("term", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(bigrams_and_words(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    weights = asked.join(idf, "term")
+    weights = stage(asked.join(idf, "term"), "weights")
+    if weights.count() <= WEIGHT_ROWS:  # the terms of a bounded query set meet the postings where those lie
+        weights = F.broadcast(weights)
     part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = postings.join(weights, "term").groupBy("query_id", F.col("doc").alias(key)).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, k, key)

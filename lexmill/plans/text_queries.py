@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
-from lexmill.session import table
+from lexmill.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,7 +95,7 @@ WITH h AS (SELECT doc_id, text, unnest([('主文', '主\\s*文'), ('事實', '
  w AS (SELECT doc_id, '全文' AS label, {fill(_CLEAN, 'text')} AS body FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = d.doc_id))
 SELECT doc_id, label, CAST(length(body) AS BIGINT) AS n, md5(body) AS body_hash FROM e UNION ALL SELECT doc_id, label, CAST(length(body) AS BIGINT), md5(body) FROM w""")
 def section_split(spark, root):
-    rows = table(spark, root, "documents").where("text is not null").select("doc_id", F.explode(t.sections(F.col("text"))).alias("s"))
+    rows = spread(table(spark, root, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.explode(t.sections(F.col("text"))).alias("s"))
     return rows.select("doc_id", "s.label", F.length("s.body").cast("bigint").alias("n"), F.md5("s.body").alias("body_hash"))
 
 
@@ -109,7 +109,7 @@ WITH d AS (SELECT file_id, received_at, {fill(_LAYOUT, 'text')} AS x FROM extrac
  b AS (SELECT file_id, received_at, i, labels[i] AS label, regexp_replace(substr(parts[i + 1], length(labels[i]) + 1), '^[ \\n\\x{{3000}}：:]+|[ \\n\\x{{3000}}：:]+$', '', 'g') AS body, list_sum(list_transform(parts[1:i], lambda p: length(p))) AS pos FROM u)
 SELECT file_id, received_at, label, CAST(pos AS BIGINT) AS char_at, CAST(length(body) AS BIGINT) AS n, md5(body) AS body_hash FROM b WHERE length(body) >= 10""")
 def clause_split(spark, root):
-    rows = table(spark, root, "extracted_docs").where("text is not null").select("file_id", "received_at", F.explode(t.clauses(F.col("text"))).alias("c"))
+    rows = spread(table(spark, root, "extracted_docs").where("text is not null").select("file_id", "received_at", "text")).select("file_id", "received_at", F.explode(t.clauses(F.col("text"))).alias("c"))
     return rows.select("file_id", "received_at", "c.label", F.col("c.at").cast("bigint").alias("char_at"), F.length("c.body").cast("bigint").alias("n"), F.md5("c.body").alias("body_hash"))
 
 

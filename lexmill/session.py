@@ -89,3 +89,12 @@ def _remove() -> None:
         except Exception:  # the session may be gone already
             pass
     _written.clear()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan gives fewer parts than there are cores, as for one small file.
+
+    Only then are they shuffled; a scan that already has a part for every core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
