@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 #: Bound of the training sample: so many rows, those with the least hash of the key.
 TRAIN_ROWS = 500
 EPOCHS = 6
@@ -401,6 +403,6 @@ def pair_defects(pairs: DataFrame, key: str = "analysis_id", prompt: str = "clau
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(kinds, pa.string())], ["k", "field", "defect"])
 
     rows_ = pairs.select(F.col(key).alias("k"), F.col(prompt).alias("p"), *(F.col(c).alias(f"r{i}") for i, c in enumerate(responses)))
-    found = rows_.mapInArrow(judge, f"k {kind}, field string, defect string").withColumnRenamed("k", key)
+    found = spread(rows_).mapInArrow(judge, f"k {kind}, field string, defect string").withColumnRenamed("k", key)
     # the rows of a key are repeats; should they differ, the first defect in code-point order is given
     return found.groupBy(key, "field").agg(F.min("defect").alias("defect"))

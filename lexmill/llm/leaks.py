@@ -16,7 +16,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import small_batches
+from lexmill.session import small_batches, spread
 
 LEAST = 50
 SEED = 25
@@ -128,7 +128,7 @@ def leak_spans(documents: DataFrame, items: DataFrame, parts: dict[str, bool] |
         size += len(x[2])
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, part string, start int, end int, run int"
-    rows = documents.where(F.length(text) >= min(least, whole_least)).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    rows = spread(documents.where(F.length(text) >= min(least, whole_least)).select(F.col(key).alias("doc"), F.col(text).alias("t")))
 
     def scan_with(block):
         context = documents.sparkSession.sparkContext

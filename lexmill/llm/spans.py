@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.pairs import pairs_in_groups
-from lexmill.session import small_batches, stage
+from lexmill.session import small_batches, spread, stage
 
 LEAST = 160
 K = 96
@@ -119,7 +119,7 @@ def graph_nodes(documents: DataFrame, key: str, text: str, least: int = LEAST, k
             prev, gap = np.roll(h, 1).view(np.int64), (at - np.roll(at, 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(prev, mask=first), pa.array(gap, mask=first)], ["doc", "pos", "h", "prev", "gap"])
 
-    rows = documents.where(F.length(text) >= least).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    rows = spread(documents.where(F.length(text) >= least).select(F.col(key).alias("doc"), F.col(text).alias("t")))
     return rows.mapInArrow(sample, f"doc {kind}, pos int, h bigint, prev bigint, gap int")
 
 

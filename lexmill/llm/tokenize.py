@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import small_batches
+from lexmill.session import small_batches, spread
 
 VOCABULARY_DIR = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
 
@@ -125,4 +125,4 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", voc
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["k", "ids"])
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return rows.mapInArrow(encode, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return spread(rows).mapInArrow(encode, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
