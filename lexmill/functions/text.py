@@ -192,3 +192,46 @@ def bigrams_and_words(c: Column) -> Column:
 def kappa_level(k: Column) -> Column:
     """Landis and Koch's words for a kappa."""
     return F.when(k < 0, "poor").when(k <= 0.2, "slight").when(k <= 0.4, "fair").when(k <= 0.6, "moderate").when(k <= 0.8, "substantial").otherwise("almost perfect")
+
+
+def squash(c: Column) -> Column:
+    """Without any white space."""
+    return F.regexp_replace(c, f"{SPACE}+", "")
+
+
+def digits_only(c: Column) -> Column:
+    """Digits and hyphens of an article number."""
+    return F.regexp_replace(c, "[^0-9-]", "")
+
+
+def short_label(canonical: Column) -> Column:
+    """民425-1 and 消保11 for articles of the two main statutes; others lose only the words around the number."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(canonical, "^民法第", "民"), "^消費者保護法第", "消保"), "條$", "")
+
+
+def alias_law(c: Column) -> Column:
+    """The usual short name of the consumer protection act written out."""
+    return F.regexp_replace(c, "消保法", "消費者保護法")
+
+
+def reason(anchor: Column, candidate: Column, weight: Column) -> Column:
+    """Sentence that says why an article is suggested."""
+    return F.format_string("%s is cited together with %s in %d cases", candidate, anchor, weight)
+
+
+def binary(c: Column, positive: tuple[str, ...]) -> Column:
+    """1 where the cleaned label is one of the positive ones, 0 for other labels, null for blanks."""
+    label = F.lower(F.regexp_replace(c, r"^[\s.]+|[\s.]+$", ""))
+    return F.when(label != "", label.isin(*positive).cast("int"))
+
+
+def widen_marks(c: Column) -> Column:
+    """Half-width marks between ideographs as full-width ones; code spans in backticks and formulas in $ stay."""
+    pairs = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！"}
+    keep = "(?:`[^`]*`|\\$[^$]*\\$)"
+    for half, full in pairs.items():
+        h = "\\" + half
+        c = F.regexp_replace(c, f"({keep})|(?<=[一-鿿])[ ]*{h}[ ]*(?=[一-鿿])", f"$1\u0001{half}")
+        # a protected span was matched whole: put nothing after it; a mark was matched: put the wide one
+        c = F.regexp_replace(F.regexp_replace(c, f"(`|\\$)\u0001{h}", "$1"), f"\u0001{h}", full)
+    return c

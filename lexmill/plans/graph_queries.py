@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as t
 from lexmill.operators import graph as g
 from lexmill.operators.statistics import global_row_number
 from lexmill.session import stage, table
@@ -123,3 +124,9 @@ def event_positions(spark, root):
     """Place of every event in time order: range partitions numbered by their counts."""
     rows = global_row_number(table(spark, root, "events").select("event_id", "ts"), ["ts", "event_id"], "position")
     return rows.select("event_id", F.col("position").cast("bigint").alias("position"))
+
+
+@query(f"WITH {_EDGES} SELECT a, b, w, format('{{}} is cited together with {{}} in {{}} cases', b, a, w) AS reason FROM e WHERE w >= 4")
+def edge_reasons(spark, root):
+    """Why an edge's second article is suggested to whom cites the first."""
+    return _edges(spark, root, 4).select("a", "b", "w", t.reason(F.col("a"), F.col("b"), F.col("w")).alias("reason"))

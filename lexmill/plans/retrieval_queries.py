@@ -422,3 +422,40 @@ def gold_text_lookup(spark, root):
     s = table(spark, root, "statute_articles")
     texts = s.select(F.col("chunk_id").alias("key"), "content").unionByName(s.select(squash("chunk_id").alias("key"), "content"))
     return ev.resolve(keys, texts).select("id", "raw", "content")
+
+
+@query("SELECT regexp_replace(article_no, '\\s+', '', 'g') AS article, count(*) AS n_laws, first(content ORDER BY loaded_at DESC, chunk_id DESC) AS snippet FROM statute_articles GROUP BY 1")
+def article_snippets(spark, root):
+    """Latest content by article number without white space: the last one loaded wins."""
+    rows = table(spark, root, "statute_articles")
+    return rows.groupBy(t.squash(F.col("article_no")).alias("article")).agg(F.count(F.lit(1)).alias("n_laws"), F.max_by("content", F.struct("loaded_at", "chunk_id")).alias("snippet"))
+
+
+@query("""WITH r AS (SELECT DISTINCT id, regexp_replace(x, '[^0-9-]', '', 'g') AS num FROM (SELECT id, unnest(relevant_ids) AS x FROM gold_queries) WHERE x LIKE '%法%'),
+ c AS (SELECT r.id, r.num, s.chunk_id, row_number() OVER (PARTITION BY r.id, r.num ORDER BY (substr(q.clause_type, 1, 2) = substr(s.content, 1, 2)) DESC NULLS LAST, s.chunk_id) AS rn, count(*) OVER (PARTITION BY r.id, r.num) AS n
+  FROM r JOIN (SELECT id, min(clause_type) AS clause_type FROM gold_queries GROUP BY id) q ON q.id IS NOT DISTINCT FROM r.id JOIN statute_articles s ON regexp_replace(s.article_no, '[^0-9-]', '', 'g') = r.num)
+SELECT id, num, chunk_id, n = 1 AS sure FROM c WHERE rn = 1""")
+def reference_resolution(spark, root):
+    """Article numbers alone to statutes: the only candidate, else one whose text begins like the clause type, else the first."""
+    gold = table(spark, root, "gold_queries")
+    refs = gold.select("id", F.explode("relevant_ids").alias("x")).where("x like '%法%'").select("id", t.digits_only(F.col("x")).alias("num")).distinct()
+    kinds = gold.groupBy(F.col("id").alias("gid")).agg(F.min("clause_type").alias("clause_type"))
+    statutes = table(spark, root, "statute_articles").select(t.digits_only(F.col("article_no")).alias("num"), "chunk_id", "content")
+    met = refs.join(kinds, F.col("id").eqNullSafe(F.col("gid"))).join(statutes, "num")
+    like = F.substring("clause_type", 1, 2) == F.substring("content", 1, 2)
+    order = Window.partitionBy("id", "num").orderBy(F.desc_nulls_last(like), "chunk_id")
+    return met.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "num"))).where("rn = 1").select("id", "num", "chunk_id", (F.col("n") == 1).alias("sure"))
+
+
+@query("SELECT item_key, CASE WHEN lower(regexp_replace(human_label, '^[\\s.]+|[\\s.]+$', '', 'g')) <> '' THEN CAST(lower(regexp_replace(human_label, '^[\\s.]+|[\\s.]+$', '', 'g')) = 'hallucination' AS INTEGER) END AS flag FROM reglab_checkpoint")
+def label_binarize(spark, root):
+    return table(spark, root, "reglab_checkpoint").select("item_key", t.binary(F.col("human_label"), ("hallucination",)).alias("flag"))
+
+
+@query()
+def significance_report(spark, root):
+    """Per mode: means of both measures, the signed-rank test of their difference and its p corrected by Holm."""
+    rows = table(spark, root, "citation_results").select("analysis_id", "rag_mode", "precision_score", "recall_score").distinct()
+    means = rows.groupBy("rag_mode").agg(F.round(F.avg("precision_score"), 4).alias("mean_precision"), F.round(F.avg("recall_score"), 4).alias("mean_recall"))
+    tests = st.holm(st.wilcoxon(rows, "precision_score", "recall_score", ["rag_mode"]), "p", "rag_mode")
+    return means.join(tests, "rag_mode")

@@ -89,3 +89,15 @@ def test_tokens(spark):
 def test_groups(spark):
     assert one(spark, "返還押租金", lambda c: t.first_group(c, t.CAUSE_GROUPS, t.OTHER_GROUP)) == "押金返還與時效"
     assert one(spark, None, lambda c: t.first_group(c, t.CAUSE_GROUPS, t.OTHER_GROUP)) == t.OTHER_GROUP
+
+
+def test_small_forms(spark):
+    assert one(spark, "民法第425-1條", t.short_label) == "民425-1" and one(spark, "消費者保護法第11條", t.short_label) == "消保11"
+    assert one(spark, "第 425-1 條", t.digits_only) == "425-1" and one(spark, " 第 1\n條", t.squash) == "第1條"
+    assert one(spark, "消保法第2條", t.alias_law) == "消費者保護法第2條"
+    assert [one(spark, x, lambda c: t.binary(c, ("high",))) for x in (" High. ", "low", "", None)] == [1, 0, None, None]
+
+
+def test_wide_marks(spark):
+    assert one(spark, "甲, 乙;丙 `a,乙,丙` a, b", t.widen_marks) == "甲，乙；丙 `a,乙,丙` a, b"
+    assert one(spark, None, t.widen_marks) is None
