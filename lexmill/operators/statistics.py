@@ -166,4 +166,5 @@ def global_row_number(rows: DataFrame, order: list[str], name: str) -> DataFrame
 def round_robin_sample(rows: DataFrame, stratum: str, key: str, priority: Column, n: int) -> DataFrame:
     """n rows taken from the strata in turn, each stratum in the order of its keys' hashes; strata in order of priority."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("rn", F.row_number().over(order)).orderBy("rn", priority, stratum).limit(n)
+    # no stratum gives more than n, so each partition passes on its first n of each only
+    return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).orderBy("rn", priority, stratum).limit(n)

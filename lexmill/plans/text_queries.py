@@ -240,12 +240,12 @@ def weak_label_rows(spark, root):
 
 @query("""
 WITH d AS (SELECT DISTINCT case_id, section, chunk_no, content FROM judgement_chunks WHERE section IN ('理由', '主文', '全文') AND content <> '' AND case_id IS NOT NULL)
-SELECT case_id, section, CAST(sum(length(content)) + count(*) - 1 AS BIGINT) AS n, md5(string_agg(content, ' ' ORDER BY chunk_no, content)) AS text_hash FROM d GROUP BY case_id, section""")
+SELECT case_id, section, CAST(chunk_no // 200 AS BIGINT) AS part, CAST(sum(length(content)) + count(*) - 1 AS BIGINT) AS n, md5(string_agg(content, ' ' ORDER BY chunk_no, content)) AS text_hash FROM d GROUP BY case_id, section, chunk_no // 200""")
 def case_concat(spark, root):
-    """Text of each case's sections in chunk order."""
+    """Text of each case's sections in chunk order, in parts of 200 chunks: one case may hold a large share of all rows."""
     rows = table(spark, root, "judgement_chunks").where(F.col("section").isin("理由", "主文", "全文") & (F.col("content") != "") & F.col("case_id").isNotNull()).select("case_id", "section", "chunk_no", "content").distinct()
-    joined = rows.groupBy("case_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda x: x["content"]), " ").alias("text"))
-    return joined.select("case_id", "section", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_hash"))
+    joined = rows.groupBy("case_id", "section", F.floor(F.col("chunk_no") / 200).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda x: x["content"]), " ").alias("text"))
+    return joined.select("case_id", "section", "part", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_hash"))
 
 
 @query(f"""
