@@ -36,7 +36,7 @@ def p5_found(spark, root):
 
 
 def p5_pieces(spark, root):
-    return pieces.cut_pieces(table(spark, root, "judgement_chunks").select("chunk_id", "content").distinct())
+    return pieces.cut_pieces(table(spark, root, "judgement_chunks").where("length(content) > 800").select("chunk_id", "content").distinct())
 
 
 def p5_counts(spark, root):
