@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.articles import edit_distance, name_entries, plausible, split_reference, tolerance
+from lexmill.operators.orphans import NAME_ROWS
 from lexmill.session import stage
 
 #: Entries one tree holds; a longer list is cut into shards of about this size.
@@ -123,8 +124,10 @@ def canonical_articles(raw: DataFrame, statutes: DataFrame) -> DataFrame:
     through the BK-tree; the number must be an article of that statute, deleted and late ones included.
     """
     spark = raw.sparkSession
-    laws = statutes.select("law_name", "law_name_en").distinct()
-    entry_map = name_entries((r[0], r[1]) for r in laws.toLocalIterator())  # spellings of the statutes' names: one or a few per statute
+    laws = statutes.select("law_name", "law_name_en").distinct().limit(NAME_ROWS + 1).collect()
+    if len(laws) > NAME_ROWS:
+        raise ValueError(f"more than {NAME_ROWS} statute names: give their spellings as a table to nearest_entries")
+    entry_map = name_entries((r[0], r[1]) for r in laws)
     spellings = spark.createDataFrame(sorted(entry_map.items()), "entry string, law string")
     parts = stage(reference_parts(raw), "parts")
     nearest = nearest_entries(parts.select(F.col("name").alias("value")), spellings)
