@@ -2,11 +2,12 @@
 
 Lines are told apart first: page numbers by the one style a file numbers its pages in, running headers
 as lines that return within a file up to misread characters, the rest is the text itself. Counts of
-characters with their neighbours, and of words, over the whole text of all files give skip-gram
+characters and of words with their neighbours over the whole text of all files give skip-gram
 vectors (the factors of the positive pointwise mutual information, which is what skip-gram training
-with negative samples approaches). A rare character or word is linked to a frequent neighbour if the
-vectors agree or the glyphs are easily confused, and corrected where its context has the frequent
-one far more often. Then furniture is dropped, cut words are joined and lines reflowed.
+with negative samples approaches). A rare character is linked to a frequent one if the vectors agree
+or the glyphs are easily confused, and corrected where its context has the frequent one far more
+often. A rare word is corrected to a frequent one a glyph edit away if its vector and its neighbours
+agree (`Model.word`). Then furniture is dropped, cut words are joined and lines reflowed.
 
 Null and empty texts have no noise and are repaired to ''. Counts come from every file; repeated rows
 of a file count once. A file of one page has no line that returns, hence no header.
@@ -27,6 +28,9 @@ from lexmill.session import small_batches, spread, stage
 #: Entries of the context model that travel to the workers: the most frequent ones.
 MODEL_ENTRIES = 300_000
 DIMENSIONS = 64
+#: How much more frequent than a misread form a word must be, and the least cosine of their vectors (9 in 10 single occurrences of a word have it, 1 in 8 of another).
+WORD_RATIO = 20
+LIKE = 0.25
 
 # Ideographs (and one mark) that recognition takes for one another; left: as read, right: as meant.
 GLYPHS = """
@@ -72,6 +76,26 @@ def latin_shape(text: str) -> str:
     return text
 
 
+_SINGLE = str.maketrans({a: b for a, b in LATIN if len(a) == 1})
+_RUNS = [(a.translate(_SINGLE), b) for a, b in LATIN if len(a) > 1]
+
+
+def word_shapes(word: str) -> set[str]:
+    """The shapes of a word under every order of folding that matters: runs before letters, and letters before runs."""
+    shapes, folded = {latin_shape(word)}, word.lower().translate(_SINGLE)
+    for runs in (_RUNS, _RUNS[::-1]):
+        shape = folded
+        for a, b in runs:
+            shape = shape.replace(a, b)
+        shapes.add(shape)
+    return shapes
+
+
+def _holes(word: str) -> list[str]:
+    """The word with each of its letters left open; two words that differ in one letter share one."""
+    return [word[:i] + "*" + word[i + 1 :] for i in range(len(word))]
+
+
 _GLYPH_CLASS: dict[str, str] = {}
 
 
@@ -186,10 +210,23 @@ _AROUND = re.compile("(?=(.[㐀-䶿一-鿿].))", re.S)
 _WORD = re.compile(r"[A-Za-z0-9]+")
 
 
+def words_around(text: str) -> list[tuple[re.Match, str, str]]:
+    """(match, word before, word after) of the words and numbers of a text; '' where none is near, '#' for a number."""
+    found = list(_WORD.finditer(text))
+    names = ["#" if m.group().isdigit() else m.group().lower() for m in found]
+    near = [0 < b.start() - a.end() <= 3 and not _HAN.search(text, a.end(), b.start()) for a, b in zip(found, found[1:])]
+    return [(m, names[i - 1] if i and near[i - 1] else "", names[i + 1] if i < len(near) and near[i] else "") for i, m in enumerate(found)]
+
+
 def contexts(text: str) -> Counter:
-    """Counts of characters with both neighbours where the middle one is an ideograph, and of words (`w:` before them)."""
+    """Counts of characters with both neighbours where the middle one is an ideograph, of words (`w:` before them), and of neighbouring words (`p:`)."""
     counts: Counter = Counter(m.group(1) for m in _AROUND.finditer(text))
-    counts.update("w:" + w.lower() for w in _WORD.findall(text) if not w.isdigit())
+    for m, _, after in words_around(text):
+        w = "#" if m.group().isdigit() else m.group().lower()
+        if w != "#":
+            counts["w:" + w] += 1
+        if after and not w == after == "#":
+            counts["p:" + w + " " + after] += 1
     return counts
 
 
@@ -197,7 +234,7 @@ class Model:
     """What frequent contexts say of a character or word. counts: the most frequent contexts of all files."""
 
     def __init__(self, counts: dict[str, int]):
-        self.tri = {k: v for k, v in counts.items() if not k.startswith("w:")}
+        self.tri = {k: v for k, v in counts.items() if k[:2] not in ("w:", "p:")}
         self.words = {k[2:]: v for k, v in counts.items() if k.startswith("w:")}
         self.left, self.right, self.n = Counter(), Counter(), Counter()
         for k, v in self.tri.items():
@@ -211,12 +248,21 @@ class Model:
         self.never: dict[str, str] = self._links()
         for a, b in self.never.items():
             self.meant[a].add(b)
-        shapes: dict[str, tuple[int, str]] = {}
+        self.pairs = {k[2:]: v for k, v in counts.items() if k.startswith("p:")}
+        self.around: dict[str, dict[str, int]] = defaultdict(dict)
+        for k, v in self.pairs.items():
+            a, b = k.split(" ")
+            self.around[a][">" + b] = self.around[b]["<" + a] = v
+        self.shapes: dict[str, list[str]] = defaultdict(list)
+        self.holes: dict[str, list[str]] = defaultdict(list)
         for w, v in self.words.items():
-            if w.isalpha():
-                s = latin_shape(w)
-                shapes[s] = max(shapes.get(s, (0, "")), (v, w))
-        self.shapes = shapes
+            if w.isalpha() and v >= WORD_RATIO:
+                for s in word_shapes(w):
+                    self.shapes[s].append(w)
+                for s in _holes(w) if len(w) >= 5 else ():
+                    self.holes[s].append(w)
+        self.maybe: dict[str, list[tuple[str, bool]]] = {}
+        self._word_vectors()
         self.watch = re.compile("[" + "".join(sorted(self.meant)) + "]") if self.meant else None
 
     def _links(self) -> dict[str, str]:
@@ -277,16 +323,71 @@ class Model:
                 best = max(best or (0, ""), (1, b))
         return best[1] if best else None
 
-    def word(self, word: str) -> str | None:
-        """What a word was meant to be, if it looks like a far more frequent one."""
+    def _word_vectors(self) -> None:
+        """Skip-gram vectors of the frequent words, and what takes the contexts of a rare one to its vector."""
+        names = sorted({w for held in self.shapes.values() for w in held})
+        at = {w: i for i, w in enumerate(names)}
+        col: dict[str, int] = {}
+        cells = [(at[w], col.setdefault(c, len(col)), v) for w in names for c, v in self.around.get(w, {}).items()]
+        self.col, self.vectors = col, {}
+        if cells:
+            rows, cols, values = (np.array(x) for x in zip(*cells))
+            vectors, self.basis = factors(rows, cols, values.astype(np.float32), (len(names), len(col)), 1.0)
+            self.seen = np.bincount(cols, values, len(col)) ** 0.75
+            self.seen /= self.seen.sum()
+            self.vectors = {w: vectors[i] for w, i in at.items()}
+
+    def likeness(self, contexts: dict[str, int], word: str) -> float | None:
+        """Cosine of a rare word's vector, made from its contexts, and a frequent one's; None if it has no contexts."""
+        if not contexts or word not in self.vectors:
+            return None
+        known = [(self.col[c], v) for c, v in contexts.items() if c in self.col]
+        if not known:
+            return 0.0
+        cols, counts = (np.array(x) for x in zip(*known))
+        made = np.maximum(np.log(counts / (counts.sum() * self.seen[cols])), 0) @ self.basis[cols]
+        return float(made @ self.vectors[word] / (np.linalg.norm(made) + 1e-9))
+
+    def candidates(self, low: str) -> list[tuple[str, bool]]:
+        """(frequent word, whether the table of look-alikes explains the edit) a rare word may be a misread form of."""
+        if (held := self.maybe.get(low)) is None:
+            enough = WORD_RATIO * max(1, self.words.get(low, 0))
+            near = {b for s in word_shapes(low) for b in self.shapes.get(s, ()) if b != low and self.words[b] >= enough}
+            other = {b for s in (_holes(low) if low.isalpha() and len(low) >= 5 else ()) for b in self.holes.get(s, ()) if b != low and self.words[b] >= enough} - near
+            held = self.maybe[low] = [(b, True) for b in sorted(near)] + [(b, False) for b in sorted(other)]
+        return held
+
+    def _known(self, word: str) -> str:
+        """A neighbour as the counts know it, as meant if it is misread itself; '' if they don't know it."""
+        meant = next((b for b, listed in self.candidates(word) if listed), word)
+        return meant if meant == "#" or meant in self.words else ""
+
+    def word(self, word: str, before: str = "", after: str = "") -> str | None:
+        """What a word between two others was meant to be.
+
+        A frequent word a glyph edit away is meant if vector and neighbours agree: it stands by one of the
+        neighbours that is known far more often than the word as read does, or its vector is like. An edit
+        that isn't in the table needs both, by every known neighbour. Without any known neighbour the
+        frequencies alone decide, for an edit of the table.
+        """
         low = word.lower()
         if len(low) < 2 and not (word in "lOo"):
             return None
-        n, meant = self.shapes.get(latin_shape(low), (0, ""))
-        if meant and meant != low and n >= 20 * max(1, self.words.get(low, 0)):
-            return meant.capitalize() if word[0].isupper() else meant
+        number = None
         if any(c.isdigit() for c in word) and any(c in DIGIT_LIKE for c in word) and all(c.isdigit() or c in DIGIT_LIKE for c in word):
-            return "".join(DIGIT_LIKE.get(c, c) for c in word)
+            number = "".join(DIGIT_LIKE.get(c, c) for c in word)
+        own = self.around.get(low, {})
+        sides = [side + c for side, x in (("<", before), (">", after)) if (c := self._known(x))]
+        best: tuple | None = None
+        for b, listed in self.candidates(low):
+            fits = [v for c in sides if (v := self.around.get(b, {}).get(c, 0)) >= 4 * max(1, own.get(c, 0))]
+            like = self.likeness({**own, **{c: max(1, own.get(c, 0)) for c in sides}}, b)
+            if listed and (like is None or fits or like >= LIKE) or not listed and sides and len(fits) == len(sides) and like is not None and like >= LIKE:
+                best = max(best or (False,), (listed, sum(fits), like or 0.0, self.words[b], b))
+        if number and (best is None or sum(self.around.get("#", {}).get(c, 0) for c in sides) >= best[1]):
+            return number
+        if best:
+            return best[-1].capitalize() if word[0].isupper() else best[-1]
         return {"l": "1", "O": "0", "o": "0"}.get(word)
 
     def corrections(self, text: str) -> list[tuple[int, int, str]]:
@@ -294,7 +395,7 @@ class Model:
         found = []
         if self.watch:
             found += [(m.start(), m.end(), b) for m in self.watch.finditer(text) if (b := self.correction(text, m.start()))]
-        found += [(m.start(), m.end(), b) for m in _WORD.finditer(text) if not m.group().isdigit() and (b := self.word(m.group()))]
+        found += [(m.start(), m.end(), b) for m, before, after in words_around(text) if not m.group().isdigit() and (b := self.word(m.group(), before, after))]
         return sorted(found)
 
 
@@ -314,6 +415,24 @@ def skip_gram(counts: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
 
 
+def factors(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, shape: tuple[int, int], power: float, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors of the rows, basis that takes a row of the matrix to its vector) of `skip_gram`, from the cells that are not 0. power: of the singular values in the vectors."""
+    total = counts.sum()
+    by_row, by_col = np.bincount(rows, counts, shape[0]), np.bincount(cols, counts, shape[1]) ** 0.75
+    by_col *= total / by_col.sum()
+    pmi = np.maximum(np.log(counts * total / (by_row[rows] * by_col[cols])), 0)
+
+    def times(q, into, by, size):
+        return np.stack([np.bincount(into, pmi * column[by], size) for column in q.T], axis=1)
+
+    q = np.random.default_rng(3).standard_normal((shape[1], min(dimensions, *shape)))
+    for _ in range(4):
+        q, _ = np.linalg.qr(times(times(q, rows, cols, shape[0]), cols, rows, shape[1]))
+    u, s, v = np.linalg.svd(times(q, rows, cols, shape[0]), full_matrices=False)
+    vectors = u * s**power
+    return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9), q @ v.T * (s + 1e-9) ** (power - 1)
+
+
 def repaired(text: str, style: str, heads: list[str], model: Model) -> str:
     """Continuous paragraphs: furniture dropped, cut words joined, misread characters corrected."""
     lines = (text or "").split("\n")
