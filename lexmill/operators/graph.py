@@ -74,80 +74,133 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-#: Edges that the single-task community search takes; a larger graph goes through label propagation.
+#: Up to so many edges the community search runs in one task, beyond by joins: the same steps, hence the same communities.
 COMMUNITY_EDGES = 200_000
+#: Rounds without a better modularity after which a level of the community search ends.
+PATIENCE = 12
 
 
-def communities(edges: DataFrame, seed: int = 42, rounds: int = 15) -> DataFrame:
-    """(node, community): Louvain on graphs of up to COMMUNITY_EDGES edges, weighted label propagation beyond; community is its least node."""
-    edges = stage(edges.select("a", "b", "w"), "graph")
+def communities(edges: DataFrame, seed: int = 42) -> DataFrame:
+    """(node, community) by Louvain's method with moves in rounds (`louvain`); community is its least node.
+
+    Weights are taken to a millionth, so that all sums are exact and don't depend on their order.
+    """
+    edges = stage(edges.select("a", "b", F.round(F.col("w").cast("double") * 1_000_000).cast("decimal(18,0)").alias("w")), "graph")
     if edges.count() > COMMUNITY_EDGES:
-        both = both_ways(edges)
-        now = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-        for _ in range(rounds):
-            votes = both.join(now, both.b == now.node).groupBy(F.col("a").alias("n"), "label").agg(F.sum("w").alias("s"))
-            now = stage(votes.groupBy(F.col("n").alias("node")).agg(F.min(F.struct((-F.col("s")).alias("s"), "label")).alias("v")).select("node", "v.label"), "labels")
-        least = now.groupBy("label").agg(F.min("node").alias("community"))
-        return now.join(least, "label").select("node", "community")
+        return _louvain_by_joins(edges, seed)
     kind = edges.schema["a"].dataType.simpleString()
 
     def search(frame):
         import pandas as pd
 
-        found = louvain(list(zip(frame["a"], frame["b"], frame["w"])), seed)
+        found = _louvain([(a, b, int(w)) for a, b, w in zip(frame["a"], frame["b"], frame["w"])], seed)
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
     return edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(search, f"node {kind}, community {kind}")
 
 
 def louvain(edges: list[tuple], seed: int = 42) -> dict:
-    """Node -> least node of its community, by greedy modularity moves and aggregation until nothing gains."""
-    import random
+    """Node -> least node of its community, by greedy modularity moves and aggregation until nothing gains.
+
+    In a round a half of the nodes, drawn by hash, moves at once, each to the neighbouring community of the
+    greatest gain. A level ends when no node would move or PATIENCE rounds brought no better modularity; its
+    best round counts. Levels end when none is better than the one before.
+    """
+    return _louvain([(a, b, round(float(w) * 1_000_000)) for a, b, w in edges], seed)
+
+
+def _louvain(edges: list[tuple], seed: int) -> dict:
+    import hashlib
     from collections import defaultdict
 
-    rng = random.Random(seed)
-    names = sorted({x for a, b, _ in edges for x in (a, b)})
-    at = {x: i for i, x in enumerate(names)}
-    graph: dict[int, dict[int, float]] = {i: defaultdict(float) for i in range(len(names))}
+    graph: dict = defaultdict(lambda: defaultdict(int))
     for a, b, w in edges:
-        graph[at[a]][at[b]] += float(w)
-        graph[at[b]][at[a]] += float(w)
-    loops = dict.fromkeys(graph, 0.0)
-    member = list(range(len(names)))
+        graph[a][b] += w
+        graph[b][a] += w
+    member, level = {x: x for x in graph}, 0
+    total = sum(sum(v.values()) for v in graph.values())
     while True:
-        total = sum(sum(v.values()) for v in graph.values()) + 2 * sum(loops.values())
-        degree = {i: sum(v.values()) + 2 * loops[i] for i, v in graph.items()}
-        home, weight = {i: i for i in graph}, dict(degree)
-        moved_any, moving = False, True
-        while moving and total:
-            moving = False
-            order = sorted(graph)
-            rng.shuffle(order)
-            for i in order:
-                links: dict[int, float] = defaultdict(float)
-                for j, w in graph[i].items():
-                    links[home[j]] += w
-                weight[home[i]] -= degree[i]
-                best = max(sorted({home[i], *links}), key=lambda c: (round(links.get(c, 0.0) - degree[i] * weight[c] / total, 12), c == home[i]))
-                weight[best] += degree[i]
-                if best != home[i]:
-                    home[i], moving, moved_any = best, True, True
-        if not moved_any:
+        degree = {i: sum(v.values()) for i, v in graph.items()}
+
+        def score(home):
+            inside, weight = sum(w for i, v in graph.items() for j, w in v.items() if home[i] == home[j]), defaultdict(int)
+            for i, c in home.items():
+                weight[c] += degree[i]
+            return inside * total - sum(x * x for x in weight.values()), weight
+
+        home, turn, last = {i: i for i in graph}, 0, 0
+        start, weight = score(home)
+        best, best_home = start, home
+        while turn - last < PATIENCE:
+            wish = {}
+            for i, v in graph.items():
+                links: dict = defaultdict(int, {home[i]: 0})
+                for j, w in v.items():
+                    if j != i:
+                        links[home[j]] += w
+                wish[i] = min(links, key=lambda c: (-(links[c] * total - degree[i] * (weight[c] - (degree[i] if c == home[i] else 0))), c != home[i], c))
+            if wish == home:
+                break
+            home = {i: c if hashlib.md5(f"{seed} {level} {turn} {i}".encode()).hexdigest() >= "8" else home[i] for i, c in wish.items()}
+            turn += 1
+            now, weight = score(home)
+            if now > best:
+                best, best_home, last = now, home, turn
+        if best <= start:
             break
-        ids = {c: n for n, c in enumerate(sorted(set(home.values())))}
-        new: dict[int, dict[int, float]] = {n: defaultdict(float) for n in ids.values()}
-        new_loops = dict.fromkeys(new, 0.0)
+        member = {x: best_home[c] for x, c in member.items()}
+        new: dict = defaultdict(lambda: defaultdict(int))
         for i, v in graph.items():
-            c = ids[home[i]]
-            new_loops[c] += loops[i]
             for j, w in v.items():
-                if ids[home[j]] == c:
-                    new_loops[c] += w / 2
-                else:
-                    new[c][ids[home[j]]] += w
-        member = [ids[home[m]] for m in member]
-        graph, loops = new, new_loops
-    least: dict[int, object] = {}
-    for name, m in zip(names, member):
-        least.setdefault(m, name)
-    return {name: least[m] for name, m in zip(names, member)}
+                new[best_home[i]][best_home[j]] += w
+        graph, level = new, level + 1
+    least: dict = {}
+    for x in sorted(member):
+        least.setdefault(member[x], x)
+    return {x: least[c] for x, c in sorted(member.items())}
+
+
+def _louvain_by_joins(edges: DataFrame, seed: int) -> DataFrame:
+    """The steps of `_louvain` on tables."""
+    exact = lambda c: c.cast("decimal(18,0)")
+    square = "decimal(38,0)"
+    graph = stage(both_ways(edges).groupBy("a", "b").agg(exact(F.sum("w")).alias("w")), "level")
+    member = graph.select(F.col("a").alias("node"), F.col("a").alias("c")).distinct()
+    total, level = F.lit(graph.agg(F.sum("w")).first()[0]).cast("decimal(18,0)"), 0
+    while True:
+        nodes = stage(graph.groupBy(F.col("a").alias("i")).agg(exact(F.sum("w")).alias("k")), "nodes")
+
+        def placed(home):
+            """Score of the nodes' communities (i, k, c), and the communities' weights."""
+            weight = home.groupBy("c").agg(exact(F.sum("k")).alias("weight"))
+            ends = graph.join(home.select(F.col("i").alias("a"), F.col("c").alias("ca")), "a").join(home.select(F.col("i").alias("b"), F.col("c").alias("cb")), "b")
+            inside = ends.where("ca = cb").agg(F.coalesce(exact(F.sum("w")), F.lit(0).cast("decimal(18,0)")).alias("x"))
+            squares = weight.agg(F.sum((F.col("weight") * F.col("weight")).cast(square)).cast(square).alias("y"))
+            return inside.crossJoin(squares).select((F.col("x") * total).cast(square) - F.col("y")).first()[0], weight
+
+        home, turn, last = nodes.withColumn("c", F.col("i")), 0, 0
+        start, weight = placed(home)
+        best, best_home = start, home
+        while turn - last < PATIENCE:
+            near = graph.where("a <> b").join(home.select(F.col("i").alias("b"), "c"), "b").select(F.col("a").alias("i"), "c", "w")
+            links = near.unionByName(home.select("i", "c", F.lit(0).cast("decimal(18,0)").alias("w"))).groupBy("i", "c").agg(exact(F.sum("w")).alias("w"))
+            able = links.join(home.select("i", "k", F.col("c").alias("own")), "i").join(weight, "c").withColumn("other", F.col("c") != F.col("own"))
+            rest = F.when(F.col("other"), F.col("weight")).otherwise(exact(F.col("weight") - F.col("k")))
+            gain = (F.col("w") * total).cast(square) - (F.col("k") * rest).cast(square)
+            wish = able.groupBy("i", "k", "own").agg(F.min(F.struct((-gain).alias("loss"), "other", "c")).alias("v"))
+            draw = F.md5(F.concat(F.lit(f"{seed} {level} {turn} "), F.col("i").cast("string"))) >= "8"
+            moved = stage(wish.select("i", "k", F.when(draw, F.col("v.c")).otherwise(F.col("own")).alias("c"), F.col("v.other").alias("would")), "home")
+            if not moved.where("would").limit(1).count():
+                break
+            home, turn = moved.select("i", "k", "c"), turn + 1
+            now, weight = placed(home)
+            if now > best:
+                best, best_home, last = now, home, turn
+        if best <= start:
+            break
+        to = best_home.select("i", F.col("c").alias("to"))
+        member = stage(member.join(to, member.c == to.i).select("node", F.col("to").alias("c")), "member")
+        ends = graph.join(to.select(F.col("i").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("i").alias("b"), F.col("to").alias("y")), "b")
+        graph, level = stage(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(exact(F.sum("w")).alias("w")), "level"), level + 1
+    least = member.groupBy("c").agg(F.min("node").alias("community"))
+    return member.join(least, "c").select("node", "community")
