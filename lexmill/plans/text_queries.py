@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
+from lexmill.operators.statistics import global_row_number
 from lexmill.session import spread, table
 
 QUERIES: dict = {}
@@ -248,6 +249,28 @@ def case_concat(spark, root):
     return joined.select("case_id", "section", "part", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_hash"))
 
 
+@query("""
+WITH d AS (SELECT DISTINCT case_id, section, chunk_no, content FROM judgement_chunks WHERE section IN ('理由', '主文', '全文') AND content <> '' AND case_id IS NOT NULL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY section, chunk_no NULLS LAST, content) - 1 AS i FROM d),
+ p AS (SELECT case_id, i // 200 AS part, count(*) AS m, sum(length(content)) AS n, md5(string_agg(content, ' ' ORDER BY i)) AS h FROM o GROUP BY case_id, i // 200)
+SELECT case_id, CAST(sum(m) AS BIGINT) AS n_chunks, CAST(sum(n) + sum(m) - 1 AS BIGINT) AS n, count(*) AS n_parts, md5(string_agg(h, ' ' ORDER BY part)) AS text_digest FROM p GROUP BY case_id""")
+def case_whole(spark, root):
+    """Whole text of each case by section and chunk: its length, and a digest of the hashes of its parts of 200 rows in order.
+
+    Parts go by the row's place in its case, so that none grows with a chunk number that many rows share.
+    """
+    rows = table(spark, root, "judgement_chunks").where(F.col("section").isin("理由", "主文", "全文") & (F.col("content") != "") & F.col("case_id").isNotNull()).select("case_id", "section", "chunk_no", "content").distinct()
+    placed = global_row_number(rows, ["case_id", "section", F.asc_nulls_last("chunk_no"), "content"], "g")
+    starts = placed.groupBy("case_id").agg(F.min("g").alias("start"))
+    ordered = placed.join(starts, "case_id").select("case_id", (F.col("g") - F.col("start")).alias("i"), "content").withColumn("part", F.floor(F.col("i") / 200))
+    # by case and part, else the parts of a case would stay where the join put the case
+    spaced = ordered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "case_id", "part")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "content"))), lambda x: x["content"]), " ")
+    parts = spaced.groupBy("case_id", "part").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("content")).alias("n"), F.md5(text).alias("h"))
+    hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), " ")
+    return parts.groupBy("case_id").agg(F.sum("m").alias("n_chunks"), (F.sum("n") + F.sum("m") - 1).alias("n"), F.count(F.lit(1)).alias("n_parts"), F.md5(hashes).alias("text_digest"))
+
+
 @query(f"""
 WITH src AS (SELECT DISTINCT case_id, content AS body FROM judgement_chunks WHERE content IS NOT NULL AND case_id IS NOT NULL), {_ARTICLES},
  k AS (SELECT DISTINCT case_id, article FROM a WHERE article IS NOT NULL AND article NOT IN ({', '.join(repr(f'民法第{n}條') for n in t.BOILERPLATE_NUMBERS)}))
