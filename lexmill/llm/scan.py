@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lexmill.session import small_batches, spread, stage
 
-#: Entries of the context model that travel to the workers: the most frequent ones.
-MODEL_ENTRIES = 300_000
+#: Entries of the context model that may travel to the workers; more are refused, as a part of the counts would flag sound text.
+MODEL_ENTRIES = 1_000_000
 DIMENSIONS = 64
 #: How much more frequent than a misread form a word must be, and the least cosine of their vectors (9 in 10 single occurrences of a word have it, 1 in 8 of another).
 WORD_RATIO = 20
@@ -231,7 +231,7 @@ def contexts(text: str) -> Counter:
 
 
 class Model:
-    """What frequent contexts say of a character or word. counts: the most frequent contexts of all files."""
+    """What frequent contexts say of a character or word. counts: the contexts of all files that occur more than once."""
 
     def __init__(self, counts: dict[str, int]):
         self.tri = {k: v for k, v in counts.items() if k[:2] not in ("w:", "p:")}
@@ -277,18 +277,12 @@ class Model:
             if v >= floor:
                 frequent[k[1]] += v
         at = {c: i for i, c in enumerate(chars)}
-        seen: Counter = Counter()
-        for k, v in self.tri.items():
-            seen["<" + k[0]] += v
-            seen[">" + k[2]] += v
-        col = {x: i for i, (x, _) in enumerate(seen.most_common(4000))}
-        a = np.zeros((len(chars), len(col)), np.float32)
-        for k, v in self.tri.items():
-            if (i := at.get(k[1])) is not None:
-                for x in ("<" + k[0], ">" + k[2]):
-                    if x in col:
-                        a[i, col[x]] += v
-        vectors = skip_gram(a)
+        col: dict[str, int] = {}
+        cells = [(at[k[1]], col.setdefault(x, len(col)), v) for k, v in self.tri.items() if k[1] in at for x in ("<" + k[0], ">" + k[2])]
+        rows, cols, values = (np.array(x) for x in zip(*cells))
+        cells_of = np.unique(rows * len(col) + cols, return_inverse=True)
+        values = np.bincount(cells_of[1], values)
+        vectors, _ = factors(cells_of[0] // len(col), cells_of[0] % len(col), values, (len(chars), len(col)), 0.5)
         out = {}
         for c in chars:
             if self.n[c] * 8 > self.n.most_common(1)[0][1] or frequent[c] > 0.7 * self.n[c]:
@@ -399,24 +393,11 @@ class Model:
         return sorted(found)
 
 
-def skip_gram(counts: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Unit vectors of the rows from the positive pointwise mutual information, by subspace iteration."""
-    total = counts.sum()
-    rows, cols = counts.sum(axis=1, keepdims=True), counts.sum(axis=0, keepdims=True) ** 0.75
-    cols *= total / cols.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.maximum(np.nan_to_num(np.log(counts * total / (rows * cols)), neginf=0.0), 0)
-    k = min(dimensions, *pmi.shape)
-    q = np.random.default_rng(3).standard_normal((pmi.shape[1], k)).astype(np.float32)
-    for _ in range(4):
-        q, _ = np.linalg.qr(pmi.T @ (pmi @ q))
-    u, s, _ = np.linalg.svd(pmi @ q, full_matrices=False)
-    vectors = u * np.sqrt(s)
-    return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
-
-
 def factors(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, shape: tuple[int, int], power: float, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors of the rows, basis that takes a row of the matrix to its vector) of `skip_gram`, from the cells that are not 0. power: of the singular values in the vectors."""
+    """(unit vectors of the rows, basis that takes a row of the matrix to its vector) from the positive pointwise mutual information, by subspace iteration.
+
+    Only the cells that are not 0 are given and held, so that no column need be left out. power: of the singular values in the vectors.
+    """
     total = counts.sum()
     by_row, by_col = np.bincount(rows, counts, shape[0]), np.bincount(cols, counts, shape[1]) ** 0.75
     by_col *= total / by_col.sum()
@@ -456,7 +437,7 @@ def repaired(text: str, style: str, heads: list[str], model: Model) -> str:
 
 
 def context_model(files: DataFrame, key: str, text: str, entries: int = MODEL_ENTRIES) -> dict[str, int]:
-    """The most frequent contexts of the own text of all files; counts are summed by the executors."""
+    """All contexts that occur more than once in the own text of all files, behind a check of their number; counts are summed by the executors."""
 
     def count(batches):
         import pyarrow as pa
@@ -471,8 +452,11 @@ def context_model(files: DataFrame, key: str, text: str, entries: int = MODEL_EN
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = files.where(F.length(text) > 0).select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
     once = marked.repartition(parts, "h").groupBy("h").agg(F.first("t").alias("t")).select("t")
-    counts = once.mapInArrow(count, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "k").limit(entries)
-    table = counts.toArrow()
+    counts = once.mapInArrow(count, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
+    # one entry more than may be held shows that there are too many
+    table = counts.limit(entries + 1).toArrow()
+    if table.num_rows > entries:
+        raise ValueError(f"the files hold more than {entries} contexts that occur more than once: scan them in several calls")
     return dict(zip(table.column("k").to_pylist(), table.column("n").to_pylist()))
 
 
