@@ -139,6 +139,20 @@ def _near(a: str, b: str) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def _by_digits(shapes) -> dict[tuple[str, int], list[str]]:
+    """Line shapes by their digits and length, as `_near` ones have the same digits and lengths that differ by 2 at most."""
+    held = defaultdict(list)
+    for s in shapes:
+        held[_NO_DIGIT.sub("", s), len(s)].append(s)
+    return held
+
+
+def _any_near(shape: str, held: dict[tuple[str, int], list[str]]) -> bool:
+    """Whether another of the shapes is near."""
+    digits = _NO_DIGIT.sub("", shape)
+    return any(s != shape and _near(shape, s) for d in (0, -1, 1, -2, 2) for s in held.get((digits, len(shape) + d), ()))
+
+
 def _may_head(line: str) -> bool:
     """Whether a line can be a running header: short, no heading, figure or page number, and no part of a sentence."""
     if not 3 <= len(line) <= 60 or _ENDS.search(line) or _SENTENCE.search(line) or _HEADING.match(line) or _AMOUNT.match(line):
@@ -160,11 +174,9 @@ def file_furniture(text: str | None) -> tuple[str, list[str]]:
                 break
     style = max(counts, key=lambda k: (counts[k], k != "bare")) if counts else ""
     shapes = [line_shape(x) for x in lines if _may_head(x)]
-    heads: list[str] = []
-    for shape, n in (distinct := Counter(shapes)).items():
-        if n > 1 or any(_near(shape, s) for s in distinct if s != shape):
-            heads.append(shape)
-    return style, heads[:50]
+    distinct = Counter(shapes)
+    held = _by_digits(distinct)
+    return style, [shape for shape, n in distinct.items() if n > 1 or _any_near(shape, held)]
 
 
 def _in_table(lines: list[str], i: int) -> bool:
@@ -175,14 +187,14 @@ def _in_table(lines: list[str], i: int) -> bool:
 
 def label_lines(lines: list[str], style: str, heads: list[str]) -> list[str]:
     """`page_no`, `header`, `blank` or `text` for every line of a text whose file has that style and those headers."""
-    out, known = [], set(heads)
+    out, known, held = [], set(heads), _by_digits(heads)
     stripped = [x.strip() for x in lines]
     for i, line in enumerate(stripped):
         if not line:
             out.append("blank")
         elif style and _STYLES[style].match(line) and not (style == "bare" and _in_table(stripped, i)):
             out.append("page_no")
-        elif heads and _may_head(line) and ((s := line_shape(line)) in known or any(_near(s, h) for h in heads)):
+        elif heads and _may_head(line) and ((s := line_shape(line)) in known or _any_near(s, held)):
             out.append("header")
         else:
             out.append("text")
