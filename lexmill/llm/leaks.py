@@ -1,12 +1,13 @@
 """Problem 9: passages of held-out evaluation items inside training text.
 
 One Aho-Corasick automaton holds short seeds of all normalised passages (and the whole normalised
-questions and answers, for the report), placed so densely that every run of the least length of a
+questions, for the report), placed so densely that every run of the least length of a
 passage contains a whole seed. A text is scanned once; a hit is extended to both sides in the
 normalised text and the item, and offsets are mapped back to the original text.
 
 Normal form: white space, punctuation, marks and other symbols dropped, letter case and full or half
 width folded. Null and empty texts and items match nothing; items with the same passage are all given.
+Answers are not searched: a short one such as a name or a figure stands in texts that never saw the item.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def leaked_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, split, n_documents, longest_run, n_questions): per held-out item how far it leaked; items that didn't have 0."""
-    spans = leak_spans(documents, items, {"passage": False, "question": True})
+    """(item_id, split, n_documents, longest_run, n_questions): per held-out item how far it leaked; items that didn't have 0. Questions of any length are searched."""
+    spans = leak_spans(documents, items, {"passage": False, "question": True}, whole_least=1)
     by = spans.groupBy(F.col("item").alias("item_id")).agg(
         F.countDistinct(F.when(F.col("part") == "passage", F.col("doc"))).alias("n_documents"),
         F.max(F.when(F.col("part") == "passage", F.col("run"))).alias("longest_run"),
