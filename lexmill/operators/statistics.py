@@ -114,7 +114,7 @@ def correlations(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(a, b), 4).alias("pearson"), F.round(F.corr("ra", "rb"), 4).alias("spearman"))
 
 
-def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """(by, n, mean, lo, hi): percentile interval of the mean, by the Poisson bootstrap.
 
     Each row enters each resample a Poisson(1) number of times, drawn from a hash of row and seed, so the
@@ -133,9 +133,9 @@ def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10
                 v = part["v"].to_numpy()
                 rng = np.random.default_rng([seed, number, int(abs(v.sum() * 1e6)) % (1 << 62), len(v)])
                 s, w, n, t = state.get(key, (np.zeros(resamples), np.zeros(resamples), 0, 0.0))
-                for at in range(0, len(v), 4096):
-                    draws = rng.poisson(1.0, (min(4096, len(v) - at), resamples))
-                    s, w = s + v[at : at + 4096] @ draws, w + draws.sum(axis=0)
+                for at in range(0, len(v), 256):
+                    draws = rng.poisson(1.0, (min(256, len(v) - at), resamples))
+                    s, w = s + v[at : at + 256] @ draws, w + draws.sum(axis=0)
                 state[key] = (s, w, n + len(v), t + v.sum())
         for key, (s, w, n, t) in state.items():
             yield pd.DataFrame([[*key, s.tolist(), w.tolist(), n, t]], columns=[*by, "s", "w", "n", "t"])
