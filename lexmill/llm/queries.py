@@ -71,7 +71,7 @@ def p7_found(spark, root):
 
 def p7_raters(spark, root):
     _, raters = consensus.consensus(*_p7(spark, root))
-    return raters.selectExpr("task", "rater", "n_votes", "round(reliability, 4) AS reliability")
+    return raters.selectExpr("task", "rater", "n_votes", "round(reliability, 4) AS reliability", "stable")
 
 
 def p7_agreement(spark, root):

@@ -63,3 +63,58 @@ def test_project(spark):
     got = {r["item"]: r["label"] for r in c.consensus(votes, items, labels)[0].collect()}
     assert got["s1"] == "supported" and got["k1"] == "hallucination" and got["k2"] == "not_hallucination" and set(got) == {"s1", "s2", "k1", "k2"}
     assert c.consensus(votes.limit(0), items.limit(0), labels)[0].collect() == []
+
+
+def frames(spark, votes, truth):
+    frame = spark.createDataFrame(votes, "task string, item string, rater string, label string, at timestamp")
+    labels = spark.createDataFrame([("t", x) for x in "abc"], "task string, label string")
+    return frame, spark.createDataFrame([("t", i) for i in truth], "task string, item string"), labels
+
+
+def test_own_vote_is_left_out():
+    import numpy as np
+
+    # three annotators of weight 1, 2 and 4 on one item of three labels
+    weights = np.array([1.0, 2.0, 4.0])
+    args = (np.array([0, 1, 2]), np.array([0, 0, 1]), np.zeros(3, int), np.full(3, 3))
+    num, den = c.left_out(*args, weights)
+    for i, scores in enumerate(([2.0, 4.0, 0.0], [1.0, 4.0, 0.0], [3.0, 0.0, 0.0])):
+        q = np.exp(max(scores)) / np.exp(scores).sum()
+        r = (1 - q) / 2
+        agrees = float(np.argmax(scores) == args[1][i])
+        assert abs(num[i] - (q - r) * (agrees - r)) < 1e-12 and abs(den[i] - (q - r) ** 2) < 1e-12
+    # the weight of an annotator's own vote doesn't change what is said of that vote
+    again, _ = c.left_out(*args, np.array([1.0, 2.0, 40.0]))
+    assert again[2] == num[2] and again[0] != num[0]
+
+
+def test_held_and_joined_rounds_agree(spark):
+    truth, votes, _ = simulate(3, 150)
+    votes += [("t", "i0", f"x{j}", "abc"[j % 3 and 1], None) for j in range(40)]
+    given = frames(spark, votes, truth)
+    seen = []
+    for how in ({}, {"held": 0}, {"together": 20}):
+        labels, raters = c.consensus(*given, **how)
+        seen.append(({r["item"]: r["label"] for r in labels.collect()}, {r["rater"]: round(r["reliability"], 6) for r in raters.collect()}, {r["stable"] for r in raters.collect()}))
+    assert seen[0] == seen[1] == seen[2] and seen[0][2] == {True}
+
+
+def test_reweighting_is_what_decides(spark):
+    # one good annotator against two that err alike: the plain majority follows the two
+    truth, votes, _ = simulate(5)
+    found, _ = c.consensus(*frames(spark, votes, truth))
+    rounds, c.ROUNDS = c.ROUNDS, 1
+    try:
+        once, _ = c.consensus(*frames(spark, votes, truth))
+        right = lambda rows: sum(truth.get(r["item"]) == r["label"] for r in rows.collect())
+        assert right(found) > right(once)
+    finally:
+        c.ROUNDS = rounds
+
+
+def test_one_label_and_lone_votes(spark):
+    frame = spark.createDataFrame([("one", "i", "r", "x", None), ("two", "j", "r", "a", None)], "task string, item string, rater string, label string, at timestamp")
+    labels = spark.createDataFrame([("one", "x"), ("two", "a"), ("two", "b")], "task string, label string")
+    found, raters = c.consensus(frame, spark.createDataFrame([("one", "i"), ("two", "j"), (None, "j")], "task string, item string"), labels)
+    assert sorted((r["item"], r["label"]) for r in found.collect()) == [("i", "x"), ("j", "a")]
+    assert {r["task"]: round(r["reliability"], 2) for r in raters.collect()} == {"one": 1.0, "two": 0.7}
