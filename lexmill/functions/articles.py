@@ -102,18 +102,17 @@ def split_reference(raw: str | None) -> tuple[str, str] | None:
     return bare_name(match["name"]), f"{n}-{m}" if m else str(n)
 
 
+def spellings_of(name: str, english: str | None) -> list[tuple[str, str, int]]:
+    """(squashed spelling, statute, rank) of a statute's own name (0), its usual short names (1) and its English name (2)."""
+    own = squash(name)
+    found = [(own, name, 0), *((short, name, 1) for short, full in SHORT_NAMES.items() if full == own)]
+    return found + ([(squash(english).strip(_EDGES), name, 2)] if english else [])
+
+
 def name_entries(names: Iterable[tuple[str, str | None]]) -> dict[str, str]:
-    """Squashed spelling -> statute of (name, English name) rows: own names, English names and the short names of those present."""
-    out: dict[str, str] = {}
-    rows = sorted({(a, b) for a, b in names if a}, key=lambda r: (r[0], r[1] or ""))
-    for name, english in rows:
-        if english:
-            out.setdefault(squash(english).strip(_EDGES), name)
-    present = {squash(name): name for name, _ in rows}
-    for short, full in SHORT_NAMES.items():
-        if full in present:
-            out[short] = present[full]
-    return out | present
+    """Squashed spelling -> statute of (name, English name) rows; of two statutes with one spelling the one of the lesser rank, then name."""
+    rows = sorted((rank, law, entry) for a, b in set(names) if a for entry, law, rank in spellings_of(a, b))
+    return {entry: law for _, law, entry in reversed(rows)}
 
 
 def tolerance(name: str) -> int:
@@ -144,13 +143,25 @@ def plausible(name: str, entry: str, distance: int) -> bool:
 
 
 class StatuteNames:
-    """Nearest statute of a name among few entries, with a memory of names seen."""
+    """Nearest statute of a name among entries that are held, with a memory of names seen."""
 
     def __init__(self, entries: dict[str, str]):
-        self.entries, self.seen = entries, dict(entries)
-
-    def find(self, name: str) -> str | None:
+        self.entries, self.seen = entries, {}
+        self.by_length: dict[int, list[str]] = {}
+        for e in entries:
+            self.by_length.setdefault(len(e), []).append(e)
+
+    def nearest(self, name: str) -> tuple[int, str, str] | None:
+        """(distance, entry, statute), the first in code-point order among equals."""
+        if name in self.entries:
+            return 0, name, self.entries[name]
         if name not in self.seen:
-            best = min(((d, e) for e in self.entries if plausible(name, e, d := edit_distance(name, e, tolerance(e)))), default=None)
-            self.seen[name] = self.entries[best[1]] if best else None
+            most = max(1, (len(name) + 1) // 7)
+            near = (e for n in range(len(name) - most, len(name) + most + 1) for e in self.by_length.get(n, ()))
+            best = min(((d, e) for e in near if plausible(name, e, d := edit_distance(name, e, tolerance(e)))), default=None)
+            self.seen[name] = (*best, self.entries[best[1]]) if best else None
         return self.seen[name]
+
+    def find(self, name: str) -> str | None:
+        hit = self.nearest(name)
+        return hit[2] if hit else None

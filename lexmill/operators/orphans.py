@@ -1,50 +1,22 @@
 """References to records that do not exist.
 
-A Bloom filter of the parent keys, built by the executors and broadcast, proves definite orphans; only
-references that pass it are verified by an exact join. Every reference that is missing, deleted or
-later than the record comes out with its reason, and can be counted per table and period.
+A Bloom filter of the parent keys, sharded by the key's hash and broadcast while its size allows (`keyfilter`),
+proves definite orphans; only references that pass it are verified by an exact join. Every reference that is missing,
+deleted or later than the record comes out with its reason, and can be counted per table and period.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexmill.functions.articles import StatuteNames, name_entries, split_reference
+from lexmill.functions.articles import StatuteNames, spellings_of, split_reference
+from lexmill.operators.keyfilter import HELD_BYTES, SHARD_BYTES, key_filter
 from lexmill.session import stage
 
-#: Largest filter that is broadcast; beyond it all references are verified by the exact join.
-FILTER_BYTES = 64 << 20
-FALSE_POSITIVES = 0.01
-NAME_ROWS = 100_000
+#: Characters of statutes' names that travel to the tasks; a longer list is mapped by a search over its shards.
+NAME_CHARS = 32 << 20
 
 
-def bloom_filter(keys: DataFrame, column: str, expected: int, fpp: float = FALSE_POSITIVES, limit: int = FILTER_BYTES):
-    """The serialised filter of the column's hashes, or None where it would pass the limit or there is no key.
-
-    Partitions build their part where the keys are read; only filters of bounded size are merged.
-    """
-    bits = int(expected * 9.6 * (1 if fpp >= 0.01 else 1.5)) + 64
-    if not expected or bits // 8 > limit:
-        return None
-    spark = keys.sparkSession
-    hashed = keys.select(F.xxhash64(F.col(column)).alias("h"))
-    built = hashed._jdf.stat().bloomFilter("h", expected, bits)
-    stream = spark._jvm.java.io.ByteArrayOutputStream()
-    built.writeTo(stream)
-    return bytearray(stream.toByteArray())
-
-
-def might_contain(spark, filter_bytes, column: Column) -> Column:
-    """Whether the filter may hold the value: a JVM expression inside code generation."""
-    jvm = spark._jvm
-    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
-    literal = catalyst.Literal.create(filter_bytes, jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
-    hashed = utils.expression(F.xxhash64(column)._jc)
-    return Column(utils.column(catalyst.BloomFilterMightContain(literal, hashed)))
-
-
-def orphan_references(references: DataFrame, parents: DataFrame, at: str = "at") -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, at: str = "at", shard_bytes: int = SHARD_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """References (any columns, with `key` and the record's time `at`) and the reason why their parent doesn't count.
 
     parents: `key`, `since` (first time it is there), `until` (time it is deleted, or null); a key may
@@ -52,22 +24,15 @@ def orphan_references(references: DataFrame, parents: DataFrame, at: str = "at")
     reason: `missing`, `later` (since > at) or `deleted` (until <= at). Null keys are no references.
     A null `at`, `since` or `until` proves neither `later` nor `deleted`.
     """
-    spark = references.sparkSession
-    references = references.where("key is not null")
-    one = parents.where("key is not null").groupBy("key").agg(
-        F.min("since").alias("_since"), F.when(F.count("until") == F.count(F.lit(1)), F.max("until")).alias("_until"))
-    expected = parents.where("key is not null").count()
-    filter_bytes = bloom_filter(parents.where("key is not null"), "key", expected)
-    if filter_bytes is not None:
-        passed = might_contain(spark, filter_bytes, F.col("key"))
-        marked = stage(references.withColumn("_may", passed), "references")
-        absent, rest = marked.where("not _may").drop("_may"), marked.where("_may").drop("_may")
-        absent = absent.withColumn("reason", F.lit("missing"))
-    else:
-        absent, rest = None, references
-    reason = (F.when(F.col("_there").isNull(), "missing").when(F.col("_since") > F.col(at), "later").when(F.col("_until") <= F.col(at), "deleted"))
+    references, parents = references.where("key is not null"), parents.where("key is not null")
+    one = stage(parents.groupBy("key").agg(F.min("since").alias("_since"), F.when(F.count("until") == F.count(F.lit(1)), F.max("until")).alias("_until")), "parents")
+    held = key_filter(one.select(F.xxhash64("key")), shard_bytes, held_bytes)
+    marked = stage(held.mark(references, F.xxhash64("key"), "_may"), "references")
+    absent, rest = marked.where("not _may").drop("_may").withColumn("reason", F.lit("missing")), marked.where("_may").drop("_may")
+    # a parent that very many records refer to is a hot key of this join: its side is one row, the other is split (adaptive skew join) or, if the parents are few, they are broadcast
+    reason = F.when(F.col("_there").isNull(), "missing").when(F.col("_since") > F.col(at), "later").when(F.col("_until") <= F.col(at), "deleted")
     checked = rest.join(one.withColumn("_there", F.lit(True)), "key", "left").withColumn("reason", reason).where("reason is not null").drop("_there", "_since", "_until")
-    return checked if absent is None else checked.unionByName(absent)
+    return checked.unionByName(absent)
 
 
 def orphan_counts(orphans: DataFrame, *keys: str) -> DataFrame:
@@ -75,30 +40,60 @@ def orphan_counts(orphans: DataFrame, *keys: str) -> DataFrame:
     return orphans.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("record_id").alias("n_records"))
 
 
-def article_key(spark, statutes: DataFrame):
-    """A pandas UDF: raw value -> `statute|number` key, null where it names no statute of the table or no number.
-
-    The statutes' names are few (checked: NAME_ROWS) and travel with the function.
-    """
+def split_references(rows: DataFrame, raw: str) -> DataFrame:
+    """The rows with the `name` and `number` their raw reference gives (null without a number)."""
     import pandas as pd
 
-    names = statutes.select("law_name", "law_name_en").distinct().limit(NAME_ROWS + 1).collect()
-    if len(names) > NAME_ROWS:
-        raise ValueError(f"more than {NAME_ROWS} statute names; map them by a sharded search instead")
-    entries = name_entries((r[0], r[1]) for r in names)
+    @F.pandas_udf("name string, number string")
+    def split(values: pd.Series) -> pd.DataFrame:
+        seen: dict = {}
+        parts = [seen[v] if v in seen else seen.setdefault(v, split_reference(v) or (None, None)) for v in values]
+        return pd.DataFrame(parts, columns=["name", "number"], dtype=object)
+
+    return rows.withColumn("_parts", split(raw)).select("*", "_parts.name", "_parts.number").drop("_parts")
+
+
+def statute_spellings(statutes: DataFrame) -> DataFrame:
+    """(entry, law): every squashed spelling of the statutes' names, own names before short and English ones."""
+    laws = statutes.select("law_name", "law_name_en").where("law_name is not null").distinct()
+
+    def spell(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(e, law, rank) for a, b in zip(batch.law_name, batch.law_name_en) for e, law, rank in spellings_of(a, b)]
+            yield pd.DataFrame(rows, columns=["entry", "law", "rank"])
+
+    return laws.mapInPandas(spell, "entry string, law string, rank int").groupBy("entry").agg(F.min(F.struct("rank", "law")).alias("b")).select("entry", F.col("b.law").alias("law"))
+
 
-    @F.pandas_udf(T.StringType())
-    def key(raw: pd.Series) -> pd.Series:
-        found = StatuteNames(entries)
+def statutes_named(names: DataFrame, spellings: DataFrame, chars: int = NAME_CHARS) -> DataFrame:
+    """(name, law) of each distinct non-empty name that means a statute. The spellings are held in blocks of at most `chars` characters, each asked once by all names."""
+    asked = names.toDF("name").where("name is not null and name <> ''").distinct()
+    size = spellings.agg(F.sum(F.length("entry") + F.length("law"))).first()[0] or 0
+    blocks = max(1, -(-size // chars))
+    placed = spellings.withColumn("_b", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
+    if blocks > 1:
+        asked, placed = stage(asked, "names"), stage(placed, "spellings")
+    found = []
+    for block in range(blocks):
+        entries = {r[0]: r[1] for r in placed.where(F.col("_b") == block).select("entry", "law").collect()}  # bounded by `chars`, but for chance
+        held = names.sparkSession.sparkContext.broadcast(entries)
 
-        def one(value):
-            parts = split_reference(value)
-            law = found.find(parts[0]) if parts and parts[0] else None
-            return f"{law}|{parts[1]}" if law else None
+        def search(batches, held=held):
+            import pandas as pd
 
-        return raw.map(one, na_action="ignore").astype(object)
+            known = StatuteNames(held.value)
+            for batch in batches:
+                hits = [(n, *hit) for n in batch.name if (hit := known.nearest(n))]
+                yield pd.DataFrame(hits, columns=["name", "distance", "entry", "law"])
 
-    return key
+        rows = asked.mapInPandas(search, "name string, distance int, entry string, law string")
+        found.append(rows if blocks == 1 else stage(rows, "named"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("name").agg(F.min(F.struct("distance", "entry", "law")).alias("b")).select("name", "b.law")
 
 
 def statute_parents(statutes: DataFrame) -> DataFrame:
@@ -115,16 +110,16 @@ def legal_orphans(analyses: DataFrame, queries: DataFrame, statutes: DataFrame,
 
     Null and empty arrays and entries are no references; a record without created_at has month `unknown`.
     """
-    spark = analyses.sparkSession
 
     def flat(rows, src, key, refs):
         return rows.select(F.lit(src).alias("src_table"), F.col(key).cast("string").alias("record_id"), F.col("created_at").alias("at"), F.explode(refs).alias("raw_ref")).where("raw_ref is not null and raw_ref <> ''").distinct()
 
-    keys = article_key(spark, statutes)
     both = flat(analyses, "clause_analyses", "analysis_id", "cited_articles").unionByName(flat(queries, "gold_queries", "id", "relevant_ids"))
     chunk = (F.col("src_table") == "gold_queries") & F.col("raw_ref").rlike(CHUNK_KEY)
     keyed = both.withColumn("_chunk", chunk)
-    articles = keyed.where("not _chunk").withColumn("key", keys("raw_ref"))
+    split = stage(split_references(keyed.where("not _chunk"), "raw_ref").where("number is not null and name <> ''"), "split")
+    laws = stage(statutes_named(split.select("name"), statute_spellings(statutes)), "laws")
+    articles = split.join(laws, "name").withColumn("key", F.concat_ws("|", "law", "number")).drop("name", "number", "law")
     references = articles.unionByName(keyed.where("_chunk").withColumn("key", F.concat(F.lit("chunk|"), "raw_ref"))).drop("_chunk")
     held = chunks.select(F.concat(F.lit("chunk|"), "chunk_id").alias("key"), F.col("ingested_at").alias("since")).groupBy("key").agg(F.min("since").alias("since"))
     parents = statute_parents(statutes).unionByName(held.withColumn("until", F.lit(None).cast(statutes.schema["deleted_at"].dataType)))

@@ -1,9 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.functions.articles import StatuteNames, edit_distance, name_entries, numeral, split_reference
-from lexmill.operators import orphans
+from lexmill.operators import keyfilter, orphans
 
 
 def day(n):
@@ -31,19 +32,47 @@ def test_names():
     assert edit_distance("abc", "abd", 1) == 1 and edit_distance("abc", "xyz", 1) == 2
 
 
-@pytest.fixture(params=[orphans.FILTER_BYTES, 0])
-def limit(request, monkeypatch):
-    monkeypatch.setattr(orphans.bloom_filter, "__defaults__", (orphans.FALSE_POSITIVES, request.param))
-
-
-def test_reasons(spark, limit):
+@pytest.mark.parametrize("sizes", [(8 << 20, 64 << 20), (8, 64 << 20), (8, 0)])
+def test_reasons(spark, sizes):
     refs = [(1, "a", day(5), "x"), (1, "b", day(5), "x"), (2, "c", day(5), "x"), (2, "d", day(5), "x"), (3, None, day(5), "x"), (4, "e", None, "x"), (5, "f", day(5), "x")]
     parents = [("a", day(1), None), ("b", day(9), None), ("c", day(1), day(5)), ("a", day(9), day(2)), ("e", day(1), day(2)), ("f", None, None), (None, day(1), None)]
     found = orphans.orphan_references(
-        spark.createDataFrame(refs, "record_id long, key string, at timestamp, since string"), spark.createDataFrame(parents, "key string, since timestamp, until timestamp"))
+        spark.createDataFrame(refs, "record_id long, key string, at timestamp, since string"), spark.createDataFrame(parents, "key string, since timestamp, until timestamp"), "at", *sizes)
     assert sorted((r["record_id"], r["key"], r["reason"]) for r in found.collect()) == [(1, "b", "later"), (2, "c", "deleted"), (2, "d", "missing")]
 
 
+@pytest.mark.parametrize("sizes,held", [((8 << 20, 64 << 20), True), ((2000, 64 << 20), True), ((2000, 1000), False)])
+def test_filter_holds_every_key_and_keeps_its_rate(spark, sizes, held):
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS h")
+    got = keyfilter.key_filter(keys, *sizes)
+    assert (got.held is not None) == held and got.n_bytes >= 5000 * keyfilter.BITS_PER_KEY // 8
+    asked = spark.range(20000).selectExpr("id", "'x' AS _s", "xxhash64(id) AS h")
+    rows = got.mark(asked.repartition(3), F.col("h"), "may").select("id", "may").collect()
+    assert len(rows) == 20000 and all(r["may"] for r in rows if r["id"] < 5000)
+    assert sum(r["may"] for r in rows if r["id"] >= 5000) < 15000 * 0.03 and 0 < got.rate() < 0.03
+
+
+def test_filter_of_no_key(spark):
+    got = keyfilter.key_filter(spark.range(0).selectExpr("id"))
+    assert not any(r["may"] for r in got.mark(spark.range(5), F.xxhash64("id"), "may").collect()) and got.rate() == 0
+
+
+def test_hot_shard_is_copied(spark, monkeypatch):
+    monkeypatch.setattr(keyfilter, "ROUTED_ROWS", 100)
+    got = keyfilter.key_filter(spark.range(3000).selectExpr("xxhash64(id)"), 1000, 0)
+    rows = got.mark(spark.range(2000).selectExpr("id", "xxhash64(id % 2 * 5000) AS h"), F.col("h"), "may").collect()
+    assert len(rows) == 2000 and {r["id"] % 2 for r in rows if not r["may"]} == {1}
+
+
+def test_names_in_blocks(spark):
+    statutes = spark.createDataFrame([("民法", "Civil Code"), ("民事訴訟法", "Code of Civil Procedure"), ("消費者保護法", None)], "law_name string, law_name_en string")
+    names = spark.createDataFrame([("民法",), ("民訴",), ("民事訴訟發",), ("civlcode",), ("某某",), ("",), (None,)], "n string")
+    spellings = orphans.statute_spellings(statutes)
+    whole = sorted(tuple(r) for r in orphans.statutes_named(names, spellings).collect())
+    assert whole == sorted(tuple(r) for r in orphans.statutes_named(names, spellings, 20).collect())
+    assert whole == [("civlcode", "民法"), ("民事訴訟發", "民事訴訟法"), ("民法", "民法"), ("民訴", "民事訴訟法")]
+
+
 def test_legal(spark):
     statutes = spark.createDataFrame([("民法__第_1_條", "民法", "Civil Code", "第 1 條", day(0), None), ("民法__第_2_條", "民法", "Civil Code", "第 2 條", day(0), day(3)), ("民法__第_3-1_條", "民法", "Civil Code", "第 3-1 條", day(9), None)],
         "chunk_id string, law_name string, law_name_en string, article_no string, loaded_at timestamp, deleted_at timestamp")
