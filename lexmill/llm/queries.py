@@ -99,12 +99,22 @@ def p10_shared(spark, root):
     return spans.shared_share(table(spark, root, "documents"))
 
 
+def p10_classes(spark, root):
+    return spans.shared_classes(table(spark, root, "documents"))
+
+
+def p10_paths(spark, root):
+    return spans.shared_paths(table(spark, root, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p9_found": p9_found,
     "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p10_classes": p10_classes,
+    "p10_paths": p10_paths,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,

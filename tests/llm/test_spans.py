@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexmill.llm import spans
 
@@ -47,12 +48,57 @@ def test_share_equals_brute_force(spark):
         assert got[key] == mask.sum(), key
 
 
-def test_anchors_survive_segments(monkeypatch):
+def test_edges_survive_segments(monkeypatch):
     text = make(3)[-1][1]
-    whole = spans.anchors([text])
-    monkeypatch.setattr(spans, "SEGMENT", 700)
-    cut = spans.anchors([text])
-    assert set(whole[1]) <= set(cut[1])
+    whole = list(zip(*(x.tolist() for x in spans.token_edges([text, text[700:2700]]))))
+    monkeypatch.setattr(spans, "SEGMENT", 300)
+    assert list(zip(*(x.tolist() for x in spans.token_edges([text, text[700:2700]])))) == whole and len(whole) > 200
+
+
+def test_every_run_holds_a_common_edge():
+    rng = random.Random(4)
+    for _ in range(300):
+        word = lambda m: "".join(rng.choice(rng.choice(("ab", "租約第條甲乙"))) for _ in range(m))
+        run = word(160)
+        a, b = (spans.token_edges([word(rng.randrange(90)) + run + word(rng.randrange(90))])[4] for _ in range(2))
+        assert set(a.tolist()) & set(b.tolist())
+
+
+def test_paths_are_compacted(spark):
+    rng = random.Random(5)
+    word = lambda m: "".join(rng.choice("租約第條甲乙丙丁戊己") for _ in range(m))
+    long, tail = word(900), word(400)
+    docs = [(1, word(50) + long + word(60)), (2, word(33) + long + tail), (3, word(44) + long + tail + word(20))]
+    paths = spans.SpanGraph(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 160).paths.collect()
+    edges = {h for _, t in docs for h in spans.token_edges([t])[4].tolist()}
+    by_visits = sorted((p["n_visits"], p["chars"]) for p in paths)
+    # one path of all three texts and one of two, as the graph branches once
+    assert len(paths) == 2 and [v for v, _ in by_visits] == [2, 3] and 800 < by_visits[1][1] <= 900 and len(edges) > sum(p["n_edges"] for p in paths) > 60
+
+
+def test_classes_hold_what_pairs_hold(spark):
+    docs = make(6)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in spans.shared_classes(frame).collect()}
+    assert set(rows) == {k for k, _ in docs}
+    true = brute(docs, 160)
+    linked = {(rows[a]["class_id"], rows[b]["class_id"]) for a, b in true if rows[a]["class_id"] != rows[b]["class_id"]}
+    linked = {tuple(sorted(x)) for x in linked}
+    for key, r in rows.items():
+        assert r["n_links"] == sum(r["class_id"] in x for x in linked), key
+        assert r["n_copies"] == sum(o["class_id"] == r["class_id"] for o in rows.values())
+
+
+def test_equal_fingerprints_of_different_runs(spark, monkeypatch):
+    # a fingerprint that can't tell runs apart must not make pairs: characters decide
+    docs = make(7, 25)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    graph = spans.SpanGraph(frame, "doc_id", "text", 160)
+    real = spans.run_prints
+    monkeypatch.setattr(spans, "run_prints", lambda *a, **k: real(*a, **k).withColumn("fp", F.lit(7).cast("bigint")))
+    found = {tuple(r) for r in spans.representative_pairs(graph).collect()}
+    extra = {r["doc"] for r in graph.copies.where("doc <> rep").collect()}
+    assert found <= {p for p in brute(docs, 160) if not extra & set(p)}
 
 
 def test_empty_table(spark):
