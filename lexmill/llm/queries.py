@@ -46,17 +46,14 @@ def p5_counts(spark, root):
     return found.join(sections, "chunk_id").groupBy("section", "cut_kind").count().withColumnRenamed("count", "n_chunks")
 
 
-def _p6_pairs(spark, root):
-    return together.pair_counts(together.article_items(*(table(spark, root, n) for n in ("clause_analyses", "triangulated_evidence", "statute_articles"))))
-
-
 def p6_found(spark, root):
-    return together.lifted(_p6_pairs(spark, root)).selectExpr("field", "item_a AS article_a", "item_b AS article_b")
+    items = together.article_items(*(table(spark, root, n) for n in ("clause_analyses", "triangulated_evidence", "statute_articles")))
+    return together.lifted(items).selectExpr("field", "item_a AS article_a", "item_b AS article_b")
 
 
 def p6_corroborated(spark, root):
     """Support and lift of the pairs of corroborated articles in at least four analyses."""
-    pairs = together.pair_counts(together.corroborated_items(table(spark, root, "triangulated_evidence")))
+    pairs = together.pair_counts(together.corroborated_items(table(spark, root, "triangulated_evidence")), 4)
     return pairs.where("n_ab >= 4").selectExpr("item_a", "item_b", "n_ab", "n_a", "n_b", "round(n_ab * n / (n_a * n_b), 4) AS lift")
 
 
