@@ -1,18 +1,21 @@
 """Problem 9: passages of held-out evaluation items inside training text.
 
-One Aho-Corasick automaton holds short seeds of all normalised passages (and the whole normalised
-questions, for the report), placed so densely that every run of the least length of a
-passage contains a whole seed. A text is scanned once; a hit is extended to both sides in the
-normalised text and the item, and offsets are mapped back to the original text.
+One Aho-Corasick automaton holds short seeds of all normalised passages (and, for the report, the whole normalised
+questions, alone and with their answers), placed so densely that every run of the least length of a
+passage contains a whole seed. A text is read and normalised once and scanned once; a hit is extended to both
+sides in the normalised text and the item, and offsets are mapped back to the original text. Items of more than
+ITEM_BLOCK_CHARS characters take several automata, one after the other over the texts a task holds.
 
 Normal form: white space, punctuation, marks and other symbols dropped, letter case and full or half
 width folded. Null and empty texts and items match nothing; items with the same passage are all given.
-Answers are not searched: a short one such as a name or a figure stands in texts that never saw the item.
+An answer counts where it stands after its question: alone, a short one such as a letter or a figure stands in texts
+that never saw the item.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +24,9 @@ from lexmill.session import small_batches, spread
 
 LEAST = 50
 SEED = 25
-#: The items are held by the driver and each worker; beyond this many characters they are refused.
-ITEM_CHARS = 200_000_000
+#: Characters of the items one automaton holds, and of the texts a task holds while several automata go over them.
 ITEM_BLOCK_CHARS = 2_000_000
+HELD_TEXT_CHARS = 16_000_000
 
 
 def fold(char: str) -> str:
@@ -80,9 +83,11 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple]:
         """(item number, start, end) of maximal runs in the normal form of the text, each once."""
-        if not text or not self.any:
+        return self.scan_normal(normal(text))
+
+    def scan_normal(self, norm: str) -> list[tuple]:
+        if not norm or not self.any:
             return []
-        norm = normal(text)
         found: dict[tuple[int, int], tuple] = {}
         for end, (size, at) in self.automaton.iter(norm):
             for n, place in at:
@@ -101,61 +106,82 @@ class Scanner:
         return sorted({x for x in found.values()})
 
 
-def item_texts(items: DataFrame, parts: dict[str, bool], key: str = "item_id") -> list[tuple]:
-    """(id, part, normalised text, whole) of the items, on the driver, behind a check of their size."""
-    size = items.select(F.sum(sum((F.coalesce(F.length(p), F.lit(0)) for p in parts), F.lit(0)))).first()[0] or 0
-    if size > ITEM_CHARS:
-        raise ValueError(f"the evaluation items hold {size} characters, more than {ITEM_CHARS}: scan them in several calls")
-    rows = items.select(key, *parts).distinct().collect()
-    return sorted({(r[key], part, normal(r[part]), whole) for r in rows for part, whole in parts.items() if r[part]})
-
-
-def leak_spans(documents: DataFrame, items: DataFrame, parts: dict[str, bool] | None = None, key: str = "doc_id", text: str = "text", item_key: str = "item_id", least: int = LEAST, whole_least: int = 12) -> DataFrame:
+def item_blocks(items: DataFrame, parts: dict[str, bool], key: str = "item_id", block_chars: int = ITEM_BLOCK_CHARS):
+    """Lists of (id, part, normalised text, whole) of about `block_chars` characters; a part `a+b` is both columns' text, none if either is null."""
+    names = sorted({c for part in parts for c in part.split("+")})
+    block, size = [], 0
+    for r in items.select(key, *names).distinct().orderBy(key, *names).toLocalIterator():
+        for part, whole in parts.items():
+            texts = [r[c] for c in part.split("+")]
+            if all(texts) and (held := normal("".join(texts))):
+                block.append((r[key], part, held, whole))
+                size += len(held)
+        if size > block_chars:
+            yield block
+            block, size = [], 0
+    yield block
+
+
+_BUILT: dict = {}
+
+
+def _scanner(name, block, least) -> Scanner:
+    """The automaton of a block, kept by the worker from task to task; only the last one is."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Scanner(block.value, least)
+    return _BUILT[name]
+
+
+def _held(batches, chars: int):
+    """Batches in lists of about so many characters of text."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        held.append((batch, texts))
+        size += sum(map(len, texts))
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, parts: dict[str, bool] | None = None, key: str = "doc_id", text: str = "text", item_key: str = "item_id", least: int = LEAST, block_chars: int = ITEM_BLOCK_CHARS) -> DataFrame:
     """(doc, item, part, start, end, run): each leaked run with its offsets in the original text and its length in the normal form.
 
-    parts names the item columns; the value says whether the part must occur wholly (and be at least
-    `whole_least` characters long). Items are a bounded held-out set (ITEM_CHARS); they are scanned in
-    blocks of ITEM_BLOCK_CHARS so that an automaton fits a worker.
+    parts names the item columns (`a+b` for two in a row); the value says whether the part must occur wholly.
     """
     parts = parts or {"passage": False}
     small_batches(documents.sparkSession)
-    held = [x for x in item_texts(items, parts, item_key) if not x[3] or len(x[2]) >= whole_least]
-    blocks, size = [[]], 0
-    for x in held:
-        if size > ITEM_BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(x)
-        size += len(x[2])
+    context = documents.sparkSession.sparkContext
+    run = uuid.uuid4().hex
+    blocks = [(f"{run}-{i}", context.broadcast(block)) for i, block in enumerate(item_blocks(items, parts, item_key, block_chars))]
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc {kind}, item {item_kind}, part string, start int, end int, run int"
-    rows = spread(documents.where(F.length(text) >= min(least, whole_least)).select(F.col(key).alias("doc"), F.col(text).alias("t")))
-
-    def scan_with(block):
-        context = documents.sparkSession.sparkContext
-        shared = context.broadcast(block)
-
-        def scan(batches):
-            import pyarrow as pa
-
-            scanner = Scanner(shared.value, least)
-            for batch in batches:
-                out = []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    if hits := scanner.scan(t):
-                        back = offsets(t)
-                        out += [(i, *scanner.items[n][:2], back[lo], back[hi - 1] + 1, hi - lo) for n, lo, hi in hits]
-                cols = list(zip(*out)) if out else [[]] * 6
-                arrays = [batch.column(0).take(pa.array(cols[0], pa.int64()))]
-                arrays += [pa.array(c, t) for c, t in zip(cols[1:], [pa.from_numpy_dtype("int64") if item_kind == "bigint" else pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()])]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "item", "part", "start", "end", "run"])
-
-        return rows.mapInArrow(scan, schema)
-
-    out = scan_with(blocks[0])
-    for block in blocks[1:]:
-        out = out.union(scan_with(block))
-    return out
+    rows = spread(documents.where(F.length(text) >= (1 if any(parts.values()) else least)).select(F.col(key).alias("doc"), F.col(text).alias("t")))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        types = [pa.int64() if item_kind == "bigint" else pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        for held in _held(batches, 1 if len(blocks) == 1 else HELD_TEXT_CHARS):
+            norms = [[normal(t) for t in texts] for _, texts in held]
+            back: dict = {}
+            for name, block in blocks:
+                scanner = _scanner(name, block, least)
+                for b, (batch, texts) in enumerate(held):
+                    out = []
+                    for i, norm in enumerate(norms[b]):
+                        if hits := scanner.scan_normal(norm):
+                            if (b, i) not in back:
+                                back[b, i] = offsets(texts[i])
+                            to = back[b, i]
+                            out += [(i, *scanner.items[n][:2], to[lo], to[hi - 1] + 1, hi - lo) for n, lo, hi in hits]
+                    cols = list(zip(*out)) if out else [[]] * 6
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types))], ["doc", "item", "part", "start", "end", "run"])
+
+    return rows.mapInArrow(scan, schema)
 
 
 def leaked_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -164,12 +190,15 @@ def leaked_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, split, n_documents, longest_run, n_questions): per held-out item how far it leaked; items that didn't have 0. Questions of any length are searched."""
-    spans = leak_spans(documents, items, {"passage": False, "question": True}, whole_least=1)
+    """(item_id, split, n_documents, longest_run, n_questions, n_answered): per held-out item how far it leaked; items that didn't have 0.
+
+    n_questions counts documents with the whole question, of any length, n_answered those where the answer follows it.
+    """
+    spans = leak_spans(documents, items, {"passage": False, "question": True, "question+answer": True})
+    docs = lambda part: F.countDistinct(F.when(F.col("part") == part, F.col("doc")))
     by = spans.groupBy(F.col("item").alias("item_id")).agg(
-        F.countDistinct(F.when(F.col("part") == "passage", F.col("doc"))).alias("n_documents"),
-        F.max(F.when(F.col("part") == "passage", F.col("run"))).alias("longest_run"),
-        F.countDistinct(F.when(F.col("part") == "question", F.col("doc"))).alias("n_questions"),
-    )
+        docs("passage").alias("n_documents"), F.max(F.when(F.col("part") == "passage", F.col("run"))).alias("longest_run"),
+        docs("question").alias("n_questions"), docs("question+answer").alias("n_answered"),
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return items.select("item_id", "split").distinct().join(by, "item_id", "left").select("item_id", "split", zero("n_documents"), zero("longest_run"), zero("n_questions"))
+    return items.select("item_id", "split").distinct().join(by, "item_id", "left").select("item_id", "split", *(zero(c) for c in ("n_documents", "longest_run", "n_questions", "n_answered")))
