@@ -228,11 +228,9 @@ TASKS = {"claim": ("supported", "partial", "unsupported"), "hallucination": ("ha
 SAME = {"accurate": "not_hallucination", "incomplete": "not_hallucination"}
 
 
-def _label(column: str) -> Column:
-    label = clean_label(column)
-    for spelt, meant in SAME.items():
-        label = F.when(label == spelt, meant).otherwise(label)
-    return label
+def _labelled(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with the columns' labels cleaned, each once, and spelt as the task spells them."""
+    return rows.withColumns({c: clean_label(c) for c in columns}).replace(SAME, subset=list(columns))
 
 
 def project_votes(models: DataFrame, checkpoint: DataFrame, further: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,10 +244,12 @@ def project_votes(models: DataFrame, checkpoint: DataFrame, further: DataFrame)
     def vote(rows, task, item, rater, label, at=never):
         return rows.select(F.lit(task).alias("task"), F.col(item).alias("item"), rater.alias("rater"), label.alias("label"), at.cast("timestamp").alias("at"))
 
-    human = F.when(_label("human_label").isin(*TASKS["hallucination"]), _label("human_label")).otherwise(flag("human_hall"))
-    votes = vote(models, "claim", "sample_id", F.lit("gpt_5_mini"), _label("gpt_5_mini"))
-    votes = votes.unionByName(vote(models, "claim", "sample_id", F.lit("gpt_4o"), _label("gpt_4o")))
+    models, checkpoint = _labelled(models, "gpt_5_mini", "gpt_4o"), _labelled(checkpoint, "human_label")
+    human = F.when(F.col("human_label").isin(*TASKS["hallucination"]), F.col("human_label")).otherwise(flag("human_hall"))
+    votes = vote(models, "claim", "sample_id", F.lit("gpt_5_mini"), F.col("gpt_5_mini"))
+    votes = votes.unionByName(vote(models, "claim", "sample_id", F.lit("gpt_4o"), F.col("gpt_4o")))
     votes = votes.unionByName(vote(checkpoint, "hallucination", "item_key", F.lit("human"), human)).unionByName(vote(checkpoint, "hallucination", "item_key", F.lit("judge"), flag("judge_hall")))
-    for task in TASKS:
-        votes = votes.unionByName(vote(further, task, "item_id", F.col("rater_id"), _label("label"), F.col("voted_at")))
+    # the further votes are read once: the item tells the task
+    more = _labelled(further.select(F.col("item_id").alias("item"), F.col("rater_id").alias("rater"), "label", F.col("voted_at").cast("timestamp").alias("at")), "label").join(items, "item")
+    votes = votes.unionByName(more.select("task", "item", "rater", "label", "at"))
     return votes.join(labels, ["task", "label"], "left_semi").select("task", "item", "rater", "label", "at"), items, labels
