@@ -249,7 +249,7 @@ def project_votes(models: DataFrame, checkpoint: DataFrame, further: DataFrame)
     votes = vote(models, "claim", "sample_id", F.lit("gpt_5_mini"), F.col("gpt_5_mini"))
     votes = votes.unionByName(vote(models, "claim", "sample_id", F.lit("gpt_4o"), F.col("gpt_4o")))
     votes = votes.unionByName(vote(checkpoint, "hallucination", "item_key", F.lit("human"), human)).unionByName(vote(checkpoint, "hallucination", "item_key", F.lit("judge"), flag("judge_hall")))
-    # the further votes are read once: the item tells the task
-    more = _labelled(further.select(F.col("item_id").alias("item"), F.col("rater_id").alias("rater"), "label", F.col("voted_at").cast("timestamp").alias("at")), "label").join(items, "item")
+    # the further votes are read once: the label tells the task
+    more = _labelled(further.select(F.col("item_id").alias("item"), F.col("rater_id").alias("rater"), "label", F.col("voted_at").cast("timestamp").alias("at")), "label").join(labels, "label")
     votes = votes.unionByName(more.select("task", "item", "rater", "label", "at"))
     return votes.join(labels, ["task", "label"], "left_semi").select("task", "item", "rater", "label", "at"), items, labels
