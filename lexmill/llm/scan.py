@@ -4,8 +4,9 @@ Lines are told apart first: page numbers by the one style a file numbers its pag
 as lines that return within a file up to misread characters, the rest is the text itself. Counts of
 characters and of words with their neighbours over the whole text of all files give skip-gram
 vectors (the factors of the positive pointwise mutual information, which is what skip-gram training
-with negative samples approaches). A rare character is linked to a frequent one if the vectors agree
-or the glyphs are easily confused, and corrected where its context has the frequent one far more
+with negative samples approaches). A character that stands where another is far more usual is linked to the frequent
+one if the vector of these places is like that one's and it explains most of them (`Model._links`); a table of
+look-alike glyphs only lowers what is asked. It is corrected where its context has the frequent one far more
 often. A rare word is corrected to a frequent one a glyph edit away if its vector and its neighbours
 agree (`Model.word`). Then furniture is dropped, cut words are joined and lines reflowed.
 
@@ -31,6 +32,12 @@ DIMENSIONS = 64
 #: How much more frequent than a misread form a word must be, and the least cosine of their vectors (9 in 10 single occurrences of a word have it, 1 in 8 of another).
 WORD_RATIO = 20
 LIKE = 0.25
+#: A context says another character if it has that one so often, and so many times as often as the one read.
+USUAL, CONTEXT_RATIO = 4, 15
+#: (least cosine, least share of the odd contexts explained, least number of them) of a link of a character that has hardly any other use; either will do.
+RARE_LINKS = ((0.6, 0.7, 1), (0.3, 0.9, 20))
+#: The same for a character that is usual elsewhere, with the least number of occurrences, and for a pair of the table.
+COMMON_LINK, COMMON_TIMES, LISTED_LINK = (0.92, 0.9, 1), 20, (0.25, 0.3, 1)
 
 # Ideographs (and one mark) that recognition takes for one another; left: as read, right: as meant.
 GLYPHS = """
@@ -253,13 +260,15 @@ class Model:
             self.left[k[:2]] += v
             self.right[k[1:]] += v
             self.n[k[1]] += v
-        self.meant: dict[str, set[str]] = defaultdict(set)
+        self.listed: dict[str, set[str]] = defaultdict(set)
         for a, b in GLYPHS:
             if b in self.n:
-                self.meant[a].add(b)
-        self.never: dict[str, str] = self._links()
-        for a, b in self.never.items():
-            self.meant[a].add(b)
+                self.listed[a].add(b)
+        self._char_vectors()
+        self.links, self.judged = self._links()
+        #: The characters that have hardly any use of their own, and what they are misread from.
+        self.never = {c: b for c, of in self.links.items() for b, rare in of.items() if rare}
+        self.meant = {c: set(self.links.get(c, ())) | {b for b in self.listed.get(c, ()) if (c, b) not in self.judged} for c in {*self.links, *self.listed}}
         self.pairs = {k[2:]: v for k, v in counts.items() if k.startswith("p:")}
         self.around: dict[str, dict[str, int]] = defaultdict(dict)
         for k, v in self.pairs.items():
@@ -277,38 +286,67 @@ class Model:
         self._word_vectors()
         self.watch = re.compile("[" + "".join(sorted(self.meant)) + "]") if self.meant else None
 
-    def _links(self) -> dict[str, str]:
-        """Rare character -> the frequent one whose skip-gram vector it shares; only where it has no frequent context of its own."""
-        total = sum(self.n.values())
-        chars = [c for c, v in self.n.items() if v >= 8]
-        if len(chars) < 20:
-            return {}
-        floor = max(8, total * 3e-6)
-        frequent: Counter = Counter()
+    def _char_vectors(self) -> None:
+        """Skip-gram vectors of the characters, and what takes contexts to a vector."""
+        cells: Counter = Counter()
+        self.char_at = {c: i for i, c in enumerate(c for c, v in self.n.items() if v >= 8)}
+        self.char_col: dict[str, int] = {}
         for k, v in self.tri.items():
-            if v >= floor:
-                frequent[k[1]] += v
-        at = {c: i for i, c in enumerate(chars)}
-        col: dict[str, int] = {}
-        cells = [(at[k[1]], col.setdefault(x, len(col)), v) for k, v in self.tri.items() if k[1] in at for x in ("<" + k[0], ">" + k[2])]
-        rows, cols, values = (np.array(x) for x in zip(*cells))
-        cells_of = np.unique(rows * len(col) + cols, return_inverse=True)
-        values = np.bincount(cells_of[1], values)
-        vectors, _ = factors(cells_of[0] // len(col), cells_of[0] % len(col), values, (len(chars), len(col)), 0.5)
-        out = {}
-        for c in chars:
-            if self.n[c] * 8 > self.n.most_common(1)[0][1] or frequent[c] > 0.7 * self.n[c]:
-                continue
-            s = vectors @ vectors[at[c]]
-            best = max((j for j in range(len(chars)) if chars[j] != c and self.n[chars[j]] >= 8 * self.n[c] and frequent[chars[j]] > 0.3 * self.n[chars[j]]), key=lambda j: s[j], default=None)
-            if best is None:
+            if k[1] in self.char_at:
+                for x in ("<" + k[0], ">" + k[2]):
+                    cells[self.char_at[k[1]], self.char_col.setdefault(x, len(self.char_col))] += v
+        self.char_vectors = np.zeros((0, 0))
+        if len(self.char_at) >= 20:
+            rows, cols, values = (np.array(x) for x in zip(*((r, c, v) for (r, c), v in cells.items())))
+            self.char_vectors, self.char_basis = factors(rows, cols, values.astype(np.float32), (len(self.char_at), len(self.char_col)), 0.5)
+            self.char_seen = np.bincount(cols, values, len(self.char_col)) ** 0.75
+            self.char_seen /= self.char_seen.sum()
+
+    def _place_vector(self, contexts: dict[str, int]) -> np.ndarray | None:
+        """The vector of a character that has these contexts (`<` or `>` and the neighbour); None if none is known."""
+        known = [(self.char_col[x], v) for x, v in contexts.items() if x in self.char_col]
+        if not known or not len(self.char_vectors):
+            return None
+        cols, counts = (np.array(x) for x in zip(*known))
+        made = np.maximum(np.log(counts / (counts.sum() * self.char_seen[cols])), 0) @ self.char_basis[cols]
+        return made / (np.linalg.norm(made) + 1e-9)
+
+    def _links(self) -> tuple[dict[str, dict[str, bool]], set[tuple[str, str]]]:
+        """(character -> {the frequent one it is misread from: whether it has hardly any use of its own}, the pairs judged).
+
+        The odd contexts of a character are those where another is USUAL and CONTEXT_RATIO times as frequent.
+        Their vector is held against that of each such other one.
+        """
+        holes: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for k, v in self.tri.items():
+            if v >= USUAL:
+                holes[k[0] + k[2]].append((v, k[1]))
+        odd: dict[str, Counter] = defaultdict(Counter)
+        told: dict[str, dict[str, list[int]]] = defaultdict(dict)
+        for k, v in self.tri.items():
+            others = [b for w, b in holes.get(k[0] + k[2], ()) if b != k[1] and w >= CONTEXT_RATIO * v]
+            if others:
+                odd[k[1]].update({"": v, "n": 1, "<" + k[0]: v, ">" + k[2]: v})
+            for b in others:
+                of = told[k[1]].setdefault(b, [0, 0])
+                of[0] += 1
+                of[1] += v
+        links: dict[str, dict[str, bool]] = {}
+        judged = set()
+        for c, contexts in odd.items():
+            times, n = contexts.pop(""), contexts.pop("n")
+            if (place := self._place_vector(contexts)) is None:
                 continue
-            b = chars[best]
-            # most of what stands around the rare one must be usual around the frequent one
-            inside = sum(v for k, v in self.tri.items() if k[1] == c and self.tri.get(k[0] + b + k[2], 0) >= 8 * v)
-            if s[best] >= 0.9 and inside >= 0.3 * self.n[c] or s[best] >= 0.6 and inside >= 0.5 * self.n[c]:
-                out[c] = b
-        return out
+            rare = times >= 0.7 * self.n[c]
+            for b, (k, v) in told[c].items():
+                if b not in self.char_at:
+                    continue
+                judged.add((c, b))
+                like = float(self.char_vectors[self.char_at[b]] @ place)
+                asked = [LISTED_LINK] if b in self.listed.get(c, ()) else list(RARE_LINKS) if rare else [COMMON_LINK] if v >= COMMON_TIMES else []
+                if any(like >= cosine and k >= share * n and k >= least for cosine, share, least in asked):
+                    links.setdefault(c, {})[b] = rare
+        return links, judged
 
     def correction(self, text: str, i: int) -> str | None:
         """What the character at i was meant to be, if its context says it was misread."""
@@ -318,17 +356,25 @@ class Model:
         best: tuple[int, str] | None = None
         for b in self.meant[c]:
             n = self.tri.get(before + b + after, 0)
-            if n >= 4 and n >= 15 * own:
+            linked = b in self.links.get(c, ())
+            if not linked and not self._fits(b, before, after):
+                continue
+            if n >= USUAL and n >= CONTEXT_RATIO * own:
                 best = max(best or (0, ""), (n, b))
                 continue
             lb, rb, lc, rc = self.left[before + b], self.right[b + after], self.left[before + c], self.right[c + after]
-            sure = self.never.get(c) == b
+            sure = self.links.get(c, {}).get(b, False)
             if lb >= 5 and rb >= 5 and (lb * rb >= (30 if sure else 400) * max(1, lc) * max(1, rc)) and lb >= 4 * lc and rb >= 4 * rc:
                 best = max(best or (0, ""), (1, b))
             elif sure and (lb >= 20 * max(1, lc) and lb >= 40 or rb >= 20 * max(1, rc) and rb >= 40):
                 best = max(best or (0, ""), (1, b))
         return best[1] if best else None
 
+    def _fits(self, b: str, before: str, after: str) -> bool:
+        """Whether a place is like the vector of a character: what decides for a pair of the table that the counts haven't judged."""
+        place = self._place_vector({"<" + before: 1, ">" + after: 1})
+        return place is None or b not in self.char_at or float(self.char_vectors[self.char_at[b]] @ place) >= LIKE
+
     def _word_vectors(self) -> None:
         """Skip-gram vectors of the frequent words, and what takes the contexts of a rare one to its vector."""
         names = sorted({w for held in self.shapes.values() for w in held})
