@@ -356,18 +356,16 @@ class Model:
         best: tuple[int, str] | None = None
         for b in self.meant[c]:
             n = self.tri.get(before + b + after, 0)
-            linked = b in self.links.get(c, ())
-            if not linked and not self._fits(b, before, after):
-                continue
+            lb, rb, lc, rc = self.left[before + b], self.right[b + after], self.left[before + c], self.right[c + after]
+            linked = self.links.get(c, {}).get(b)
+            sure, weight = bool(linked), 1
             if n >= USUAL and n >= CONTEXT_RATIO * own:
-                best = max(best or (0, ""), (n, b))
+                weight = n
+            elif not (lb >= 5 and rb >= 5 and (lb * rb >= (30 if sure else 400) * max(1, lc) * max(1, rc)) and lb >= 4 * lc and rb >= 4 * rc) and not (
+                sure and (lb >= 20 * max(1, lc) and lb >= 40 or rb >= 20 * max(1, rc) and rb >= 40)):
                 continue
-            lb, rb, lc, rc = self.left[before + b], self.right[b + after], self.left[before + c], self.right[c + after]
-            sure = self.links.get(c, {}).get(b, False)
-            if lb >= 5 and rb >= 5 and (lb * rb >= (30 if sure else 400) * max(1, lc) * max(1, rc)) and lb >= 4 * lc and rb >= 4 * rc:
-                best = max(best or (0, ""), (1, b))
-            elif sure and (lb >= 20 * max(1, lc) and lb >= 40 or rb >= 20 * max(1, rc) and rb >= 40):
-                best = max(best or (0, ""), (1, b))
+            if linked is not None or self._fits(b, before, after):
+                best = max(best or (0, ""), (weight, b))
         return best[1] if best else None
 
     def _fits(self, b: str, before: str, after: str) -> bool:
@@ -428,6 +426,8 @@ class Model:
         number = None
         if any(c.isdigit() for c in word) and any(c in DIGIT_LIKE for c in word) and all(c.isdigit() or c in DIGIT_LIKE for c in word):
             number = "".join(DIGIT_LIKE.get(c, c) for c in word)
+        if not number and not self.candidates(low):
+            return {"l": "1", "O": "0", "o": "0"}.get(word)
         own = self.around.get(low, {})
         sides = [side + c for side, x in (("<", before), (">", after)) if (c := self._known(x))]
         best: tuple | None = None
