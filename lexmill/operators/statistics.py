@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kappa(rows: DataFrame, a: str, b: str, by: list[str] | None = None, degenerate: float = 1.0) -> DataFrame:
@@ -41,11 +43,36 @@ def distributed_ranks(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("rank_v", F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2)
-    return rows.join(placed.select(*by, value, "rank_v", "_c"), [*by, value])
+    met = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by] + [F.col(f"l.{value}") == F.col(f"r.{value}")]
+    return rows.alias("l").join(placed.select(*by, value, "rank_v", "_c").alias("r"), met).select("l.*", "rank_v", "_c")
+
+
+#: Differences up to which the signed-rank distribution is counted out.
+EXACT_RANKS = 25
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank_p(ranks: pd.Series, w: pd.Series) -> pd.Series:
+    """Two-sided exact p of the smaller rank sum: the share of all signs that give as small a sum, doubled."""
+
+    def one(held, least):
+        if held is None or least is None:
+            return None
+        steps = np.rint(np.asarray(held, float) * 2).astype(int)  # average ranks are halves
+        ways = np.zeros(steps.sum() + 1)
+        ways[0] = 1
+        for step in steps:
+            ways[step:] = ways[step:] + ways[: len(ways) - step].copy()
+        return min(1.0, 2 * ways[: int(round(least * 2)) + 1].sum() / 2 ** len(steps))
+
+    return pd.Series([one(r, x) for r, x in zip(ranks, w)], dtype=float)
 
 
 def wilcoxon(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Signed-rank test of b - a per group: n_pos, n_neg, w, z (normal approximation with tie correction), p, r (rank-biserial by signs). Zeros are dropped."""
+    """Signed-rank test of b - a per group: n_pos, n_neg, w, z (normal approximation with tie correction), r (rank-biserial by signs) and p. Zeros are dropped.
+
+    p is exact up to EXACT_RANKS differences, as the normal tail beyond.
+    """
     d = rows.select(*by, F.round(F.col(b) - F.col(a), 9).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     r = distributed_ranks(d, "m", by)
     n = F.count(F.lit(1))
@@ -55,7 +82,13 @@ def wilcoxon(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     variance = c("n") * (c("n") + 1) * (2 * c("n") + 1) / 24 - c("ties") / 48
     w = F.least("wp", "wn")
     z = F.when(variance > 0, (w - c("n") * (c("n") + 1) / 4) / F.sqrt(variance))
-    return agg.select(*by, "n_pos", "n_neg", w.alias("w"), F.round(z, 4).alias("z"), F.round((c("n_pos") - c("n_neg")) / c("n"), 4).alias("r"), F.round(two_sided(z), 6).alias("p"))
+    tested = agg.select(*by, "n_pos", "n_neg", "n", w.alias("w"), F.round(z, 4).alias("z"), F.round((c("n_pos") - c("n_neg")) / c("n"), 4).alias("r"), two_sided(z).alias("_normal"))
+    # the ranks of small groups only are gathered, at most EXACT_RANKS of each
+    few = tested.where(c("n") <= EXACT_RANKS).select(*by)
+    small = r.alias("r").join(few.alias("f"), [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in by], "left_semi").groupBy(*by).agg(F.collect_list("rank_v").alias("_ranks"))
+    joined = tested.alias("t").join(small.alias("s"), [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by], "left")
+    p = F.coalesce(_signed_rank_p("_ranks", "w"), "_normal")
+    return joined.select(*(F.col(f"t.{k}").alias(k) for k in by), "n_pos", "n_neg", "w", "z", "r", F.round(p, 6).alias("p"))
 
 
 def two_sided(z: Column) -> Column:
@@ -69,14 +102,25 @@ def two_sided(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+#: Discordant pairs up to which the binomial tail is summed; beyond, the normal tail with continuity correction stands for it.
+EXACT_PAIRS = 100_000
+
+
 def mcnemar(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """b01 (a set, b not), b10, discordant pairs and the exact two-sided binomial p."""
+    """b01 (a set, b not), b10, discordant pairs and the exact two-sided binomial p (null without any)."""
     g = rows.groupBy(*by).agg(F.count_if(F.col(a) & ~F.col(b)).alias("b01"), F.count_if(~F.col(a) & F.col(b)).alias("b10"))
     n, low = F.col("b01") + F.col("b10"), F.least("b01", "b10")
-    log_fact = lambda upto: F.aggregate(F.when(upto > 0, F.sequence(F.lit(1), upto.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.ln(i))
-    terms = F.transform(F.sequence(F.lit(0), low.cast("int")), lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2)))
-    tail = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    p = F.when(n == 0, None).otherwise(F.least(F.lit(1.0), 2 * tail))
+    # each term of the tail from the one before: ln C(n, i) = ln C(n, i - 1) + ln((n - i + 1) / i)
+    start = F.struct((-n * math.log(2)).alias("term"), F.exp(-n * math.log(2)).alias("tail"))
+
+    def add(acc, i):
+        term = acc["term"] + F.ln((n - i + 1) / i)
+        return F.struct(term.alias("term"), (acc["tail"] + F.exp(term)).alias("tail"))
+
+    few = F.when((low > 0) & (n <= EXACT_PAIRS), F.sequence(F.lit(1), low.cast("int"))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(few, start, add, lambda acc: acc["tail"])
+    z = (F.abs(F.col("b01") - F.col("b10")) - 1) / F.sqrt(n)
+    p = F.when(n == 0, None).when(n <= EXACT_PAIRS, F.least(F.lit(1.0), 2 * tail)).otherwise(two_sided(z))
     return g.select(*by, "b01", "b10", n.alias("discordant"), F.round(p, 6).alias("p"))
 
 
@@ -117,26 +161,24 @@ def correlations(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """(by, n, mean, lo, hi): percentile interval of the mean, by the Poisson bootstrap.
 
-    Each row enters each resample a Poisson(1) number of times, drawn from a hash of row and seed, so the
+    Each row enters each resample a Poisson(1) number of times, hence c equal rows a Poisson(c) number, drawn
+    from a hash of their columns and the seed: any partitioning gives the same interval, and equal rows cost one draw. The
     resamples are sums that partitions make locally; no group is gathered. Null values are left out.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    whole = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    rows = whole.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).withColumn("h", F.xxhash64(*by, "v"))
     keys = [f for f in rows.schema.fields if f.name in by]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keys), "s array<double>", "w array<double>", "n bigint", "t double"])
 
     def sums(batches):
-        import pandas as pd
-
         state: dict = {}
-        for number, batch in enumerate(batches):
+        for batch in batches:
             for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
-                v = part["v"].to_numpy()
-                rng = np.random.default_rng([seed, number, int(abs(v.sum() * 1e6)) % (1 << 62), len(v)])
                 s, w, n, t = state.get(key, (np.zeros(resamples), np.zeros(resamples), 0, 0.0))
-                for at in range(0, len(v), 256):
-                    draws = rng.poisson(1.0, (min(256, len(v) - at), resamples))
-                    s, w = s + v[at : at + 256] @ draws, w + draws.sum(axis=0)
-                state[key] = (s, w, n + len(v), t + v.sum())
+                for v, c, h in zip(part["v"], part["c"], part["h"]):
+                    draws = np.random.default_rng([seed, h % (1 << 63)]).poisson(c, resamples)
+                    s, w = s + v * draws, w + draws
+                state[key] = (s, w, n + int(part["c"].sum()), t + float((part["v"] * part["c"]).sum()))
         for key, (s, w, n, t) in state.items():
             yield pd.DataFrame([[*key, s.tolist(), w.tolist(), n, t]], columns=[*by, "s", "w", "n", "t"])
 
