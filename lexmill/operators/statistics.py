@@ -163,7 +163,7 @@ def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10
 
     Each row enters each resample a Poisson(1) number of times, hence c equal rows a Poisson(c) number, drawn
     from a hash of their columns and the seed: any partitioning gives the same interval, and equal rows cost one draw. The
-    resamples are sums that partitions make locally; no group is gathered. Null values are left out.
+    resamples are sums that partitions make locally; no group is gathered. Null values are left out, and so is a resample that draws no row.
     """
     whole = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     rows = whole.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")).withColumn("h", F.xxhash64(*by, "v"))
@@ -185,7 +185,7 @@ def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10
     parts = rows.mapInPandas(sums, schema)
     flat = parts.select(*by, "n", "t", F.posexplode(F.arrays_zip("s", "w")).alias("i", "x"))
     totals = flat.groupBy(*by, "i").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t"))
-    return totals.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("t") / F.col("n")), 4).alias("mean"), F.round(F.percentile(F.col("s") / F.col("w"), 0.025), 4).alias("lo"), F.round(F.percentile(F.col("s") / F.col("w"), 0.975), 4).alias("hi"))
+    return totals.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.max(F.col("t") / F.col("n")), 4).alias("mean"), F.round(F.percentile(F.try_divide("s", "w"), 0.025), 4).alias("lo"), F.round(F.percentile(F.try_divide("s", "w"), 0.975), 4).alias("hi"))
 
 
 def systematic_sample(rows: DataFrame, order: list[str], step: int) -> DataFrame:
