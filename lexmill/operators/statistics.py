@@ -69,9 +69,9 @@ def _signed_rank_p(ranks: pd.Series, w: pd.Series) -> pd.Series:
 
 
 def wilcoxon(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Signed-rank test of b - a per group: n_pos, n_neg, w, z (normal approximation with tie correction), r (rank-biserial by signs) and p. Zeros are dropped.
+    """Signed-rank test of b - a per group: n_pos, n_neg, w, z (normal approximation with tie correction), r (rank-biserial by signs), p by the normal tail and p_exact. Zeros are dropped.
 
-    p is exact up to EXACT_RANKS differences, as the normal tail beyond.
+    p_exact counts all signs out, up to EXACT_RANKS differences; it is null beyond, where the normal tail stands for it.
     """
     d = rows.select(*by, F.round(F.col(b) - F.col(a), 9).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     r = distributed_ranks(d, "m", by)
@@ -87,8 +87,7 @@ def wilcoxon(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     few = tested.where(c("n") <= EXACT_RANKS).select(*by)
     small = r.alias("r").join(few.alias("f"), [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in by], "left_semi").groupBy(*by).agg(F.collect_list("rank_v").alias("_ranks"))
     joined = tested.alias("t").join(small.alias("s"), [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by], "left")
-    p = F.coalesce(_signed_rank_p("_ranks", "w"), "_normal")
-    return joined.select(*(F.col(f"t.{k}").alias(k) for k in by), "n_pos", "n_neg", "w", "z", "r", F.round(p, 6).alias("p"))
+    return joined.select(*(F.col(f"t.{k}").alias(k) for k in by), "n_pos", "n_neg", "w", "z", "r", F.round("_normal", 6).alias("p"), F.round(_signed_rank_p("_ranks", "w"), 6).alias("p_exact"))
 
 
 def two_sided(z: Column) -> Column:
@@ -176,7 +175,7 @@ def bootstrap_ci(rows: DataFrame, value: str, by: list[str], resamples: int = 10
             for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
                 s, w, n, t = state.get(key, (np.zeros(resamples), np.zeros(resamples), 0, 0.0))
                 for v, c, h in zip(part["v"], part["c"], part["h"]):
-                    draws = np.random.default_rng([seed, h % (1 << 63)]).poisson(c, resamples)
+                    draws = np.random.default_rng([h % (1 << 63), seed]).poisson(c, resamples)
                     s, w = s + v * draws, w + draws
                 state[key] = (s, w, n + int(part["c"].sum()), t + float((part["v"] * part["c"]).sum()))
         for key, (s, w, n, t) in state.items():

@@ -17,7 +17,7 @@ def test_signed_rank_p_is_exact_for_few(spark):
     rng = random.Random(2)
     groups = {g: [rng.choice([-3, -2, -1, 1, 2, 2, 3, 4]) for _ in range(n)] for g, n in (("a", 6), ("b", 9), (None, 4))}
     rows = [(g, 0.0, float(x)) for g, d in groups.items() for x in d] + [("a", 1.0, 1.0)]
-    got = {r["g"]: r["p"] for r in st.wilcoxon(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
+    got = {r["g"]: r["p_exact"] for r in st.wilcoxon(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
     assert set(got) == set(groups) and all(abs(got[g] - brute_p(d)) < 1e-6 for g, d in groups.items())
 
 
