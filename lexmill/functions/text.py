@@ -209,6 +209,36 @@ def short_label(canonical: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(canonical, "^民法第", "民"), "^消費者保護法第", "消保"), "條$", "")
 
 
+def number_label(canonical: Column) -> Column:
+    """429 and 消11-1: the number alone, with a mark for the consumer protection act."""
+    number = F.regexp_replace(F.regexp_replace(canonical, "民法第|消費者保護法第", ""), "條$", "")
+    return F.when(canonical.startswith("消費者保護法第"), F.concat(F.lit("消"), number)).otherwise(number)
+
+
+def repro_key(canonical: Column) -> Column:
+    """民法247-1 and 消保法11: the form two sets of articles are compared in; other statutes stay."""
+    return F.regexp_replace(F.regexp_replace(canonical, "^消費者保護法第(.*)條$", "消保法$1"), "^民法第(.*)條$", "民法$1")
+
+
+def bare_number(canonical: Column) -> Column:
+    """`N` or `N-M` of a canonical article, '' without."""
+    return F.regexp_extract(canonical, "第([0-9-]+)條$", 1)
+
+
+def first_rule(c: Column, rules) -> Column:
+    """Name of the first of (words, name) rules of which the text holds a word; '' for none, null for null."""
+    out = F.when(c.isNull(), None)
+    for words, name in rules:
+        out = out.when(c.rlike("|".join(words)), name)
+    return out.otherwise("")
+
+
+def quantity(c: Column, before: str, unit: str) -> Column:
+    """The first number in digits between a term and a unit (patterns), null without."""
+    found = F.regexp_extract(c, f"{before}([0-9]{{1,9}}){unit}", 1)
+    return F.when(found != "", found.cast("int"))
+
+
 def alias_law(c: Column) -> Column:
     """The usual short name of the consumer protection act written out."""
     return F.regexp_replace(c, "消保法", "消費者保護法")

@@ -10,22 +10,29 @@ def ir_metrics(hits: DataFrame, relevant: DataFrame, key: str, k: int, queries:
     hits: query_id, key, rk; relevant: query_id, key. precision divides by k; ndcg's ideal is the sorted
     retrieved list; ndcg_full's is the ideal over all relevant. A query without relevant items has 0.
     """
+    mark = relevant.select("query_id", key).distinct().withColumn("rel", F.lit(True))
+    marked = hits.join(mark, ["query_id", key], "left").select("query_id", "rk", F.coalesce("rel", F.lit(False)).alias("rel"))
+    return marked_metrics(marked, relevant.groupBy("query_id").agg(F.countDistinct(key).alias("n_rel")), [k], queries)
+
+
+def marked_metrics(marked: DataFrame, total: DataFrame, ks: list[int], queries: DataFrame) -> DataFrame:
+    """The metrics for several k in one aggregation. marked: query_id, rk, rel (whether the hit is relevant); total: query_id, n_rel."""
+    each = F.explode(F.array(*map(F.lit, ks))).alias("k")
     gain = F.when(F.col("rel"), 1 / F.log2(F.col("rk") + 1)).otherwise(F.lit(0.0))
-    marked = hits.where(F.col("rk") <= k).join(relevant.select("query_id", key).distinct().withColumn("rel", F.lit(True)), ["query_id", key], "left").withColumn("rel", F.coalesce("rel", F.lit(False)))
-    per = marked.groupBy("query_id").agg(F.count_if("rel").alias("hits"), F.min(F.when(F.col("rel"), F.col("rk"))).alias("first"), F.sum(gain).alias("dcg"))
-    total = relevant.groupBy("query_id").agg(F.countDistinct(key).alias("n_rel"))
-    joined = queries.select("query_id").distinct().join(per, "query_id", "left").join(total, "query_id", "left").na.fill(0, ["hits", "n_rel"]).na.fill(0.0, ["dcg"])
+    per = marked.select("query_id", "rk", "rel", each).where(F.col("rk") <= F.col("k")).groupBy("query_id", "k").agg(F.count_if("rel").alias("hits"), F.min(F.when(F.col("rel"), F.col("rk"))).alias("first"), F.sum(gain).alias("dcg"))
+    joined = queries.select("query_id").distinct().select("query_id", each).join(per, ["query_id", "k"], "left").join(total, "query_id", "left").na.fill(0, ["hits", "n_rel"]).na.fill(0.0, ["dcg"])
     ideal = lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 4)
     return joined.select(
-        "query_id", F.lit(k).alias("k"), F.col("hits").cast("bigint").alias("hits"), share(F.col("hits"), F.col("n_rel")).alias("recall"), F.round(F.col("hits") / k, 4).alias("precision"),
-        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 4).alias("mrr"), share(F.col("dcg"), ideal(F.col("hits"))).alias("ndcg"), share(F.col("dcg"), ideal(F.least(F.col("n_rel"), F.lit(k)))).alias("ndcg_full"),
+        "query_id", "k", F.col("hits").cast("bigint").alias("hits"), share(F.col("hits"), F.col("n_rel")).alias("recall"), F.round(F.col("hits") / F.col("k"), 4).alias("precision"),
+        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 4).alias("mrr"), share(F.col("dcg"), ideal(F.col("hits"))).alias("ndcg"), share(F.col("dcg"), ideal(F.least(F.col("n_rel"), F.col("k")))).alias("ndcg_full"),
     )
 
 
 def ir_report(metrics: DataFrame) -> DataFrame:
     """Means of the rounded metrics by k, rounded again."""
-    mean = lambda c: F.round(F.avg(c), 4).alias(f"mean_{c}")
+    # of 4-digit numbers, summed as decimals: the same whatever the order of the rows
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(12,4)")), 4).cast("double").alias(f"mean_{c}")
     return metrics.groupBy("k").agg(F.count(F.lit(1)).alias("n_queries"), *(mean(c) for c in ("recall", "precision", "mrr", "ndcg")))
 
 

@@ -52,10 +52,13 @@ def vector_topk(spark, root):
     return _out(rt.exact_topk(_asked(spark, root), table(spark, root, "embeddings"), 3))
 
 
-def _relevant(spark, root):
-    e = table(spark, root, "embeddings")
-    a = _asked(spark, root).select(F.col("vec_id").alias("query_id"), "label")
-    return a.join(e.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", "vec_id")
+def _label_metrics(spark, root, hits, ks):
+    """Metrics of vector hits; relevant is what has the query's label, so labels meet the hits and are counted, and no pair of equal labels is made."""
+    e = table(spark, root, "embeddings").select("vec_id", "label")
+    asked = _asked(spark, root).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    marked = hits.join(asked, "query_id").join(e, "vec_id").select("query_id", "rk", F.coalesce(F.col("label") == F.col("own"), F.lit(False)).alias("rel"))
+    total = asked.join(e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel")), F.col("own") == F.col("label")).select("query_id", "n_rel")
+    return ev.marked_metrics(marked, total, ks, asked)
 
 
 def _metrics_sql(k):
@@ -74,7 +77,7 @@ def _metrics_sql(k):
 def ir_metrics_at_k(spark, root):
     """Vector top 5 with its retrieval metrics per query; relevant is what has the query's label."""
     hits = rt.exact_topk(_asked(spark, root), table(spark, root, "embeddings"), 5)
-    return ev.ir_metrics(hits, _relevant(spark, root), "vec_id", 5, _asked(spark, root).selectExpr("vec_id AS query_id"))
+    return _label_metrics(spark, root, hits, [5])
 
 
 def _report_sql(top):
@@ -85,9 +88,7 @@ def _report_sql(top):
 
 
 def _report(spark, root, hits):
-    queries, relevant = _asked(spark, root).selectExpr("vec_id AS query_id"), _relevant(spark, root)
-    parts = [ev.ir_metrics(hits, relevant, "vec_id", k, queries) for k in (1, 3, 5)]
-    return ev.ir_report(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return ev.ir_report(_label_metrics(spark, root, hits, [1, 3, 5]))
 
 
 @query(_report_sql(_top(5)))
