@@ -34,7 +34,7 @@ def paired_report(pairs: DataFrame) -> DataFrame:
 def mode_summary(rows: DataFrame, mode: str, source: str, measures: dict[str, str]) -> DataFrame:
     """Per mode: all rows, rows of a stand-in (`mock`), judged rows, and the measures' means over the judged ones; measures: column -> name."""
     judged = F.coalesce(F.col(source) != "mock", F.lit(True))
-    mean = lambda c: F.round(F.avg(F.when(judged, F.col(c))), 4)
+    mean = lambda c: F.round(F.avg(F.when(judged, F.col(c)).cast("decimal(18,6)")), 4).cast("double")
     return rows.groupBy(mode).agg(F.count(F.lit(1)).alias("n"), F.count_if(~judged).alias("n_mock"), F.count_if(judged).alias("n_judged"), *(mean(c).alias(name) for c, name in measures.items()))
 
 

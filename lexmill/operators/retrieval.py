@@ -77,7 +77,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "emb
     """
     spark = corpus.sparkSession
     kind = corpus.schema[key].dataType.simpleString()
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     block = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * (width or 1))))
     n_blocks = max(1, -(-n // block))

@@ -117,7 +117,7 @@ def citation_vs_gold(spark, root):
 
 
 @query("""WITH a AS (SELECT analysis_id, min(llm_source) AS src, min(duration_sec) AS sec FROM clause_analyses GROUP BY 1), r AS (SELECT DISTINCT analysis_id, rag_mode, precision_score, recall_score, f1 FROM citation_results), j AS (SELECT r.*, src, sec, coalesce(src <> 'mock', true) AS judged FROM r LEFT JOIN a USING (analysis_id))
-SELECT rag_mode, count(*) AS n, count(*) FILTER (NOT judged) AS n_mock, count(*) FILTER (judged) AS n_judged, round(avg(precision_score) FILTER (judged), 4) AS mean_precision, round(avg(recall_score) FILTER (judged), 4) AS mean_recall, round(avg(f1) FILTER (judged), 4) AS mean_f1, round(avg(sec) FILTER (judged), 4) AS mean_seconds FROM j GROUP BY rag_mode""")
+SELECT rag_mode, count(*) AS n, count(*) FILTER (NOT judged) AS n_mock, count(*) FILTER (judged) AS n_judged, round(avg(CAST(precision_score AS DECIMAL(18, 6))) FILTER (judged), 4) AS mean_precision, round(avg(CAST(recall_score AS DECIMAL(18, 6))) FILTER (judged), 4) AS mean_recall, round(avg(CAST(f1 AS DECIMAL(18, 6))) FILTER (judged), 4) AS mean_f1, round(avg(CAST(sec AS DECIMAL(18, 6))) FILTER (judged), 4) AS mean_seconds FROM j GROUP BY rag_mode""")
 def generation_by_mode(spark, root):
     """Means by mode over results whose analysis wasn't made by the stand-in, which are counted."""
     made = table(spark, root, "clause_analyses").groupBy("analysis_id").agg(F.min("llm_source").alias("src"), F.min("duration_sec").alias("sec"))

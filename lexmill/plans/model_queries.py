@@ -77,7 +77,7 @@ def stream_clause_upsert(spark, root):
     folder = written.inputFiles()[0].rsplit("/", 1)[0]
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = s.event_stream(spark, folder, written.schema)
-    done = s.upsert(stream, f"{base}/table", ["user_id"], ["ts", "event_id"], f"{base}/checkpoint")
+    done = s.upsert(stream, f"{base}/table", ["user_id"], ["ts", "event_id"], f"{base}/checkpoint", buckets=8)
     done.awaitTermination()
     return s.newest(spark, f"{base}/table", done).select("user_id", "event_id", "event_type", "value")
 
@@ -93,10 +93,44 @@ def stream_windowed_counts(spark, root):
     # in time order, with a last file far ahead that moves the watermark past the real windows
     rows = table(spark, root, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     last = rows.agg(F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("event_type"), (F.max("ts") + F.expr("interval 40 days")).alias("ts"))
-    written, ahead = stage(rows.coalesce(1), "events"), stage(last.coalesce(1), "ahead")
+    written, ahead = stage(rows.repartitionByRange("ts").sortWithinPartitions("ts"), "events"), stage(last, "ahead")
     base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     streams = [s.event_stream(spark, part.inputFiles()[0].rsplit("/", 1)[0], part.schema) for part in (written, ahead)]
     counts = s.windowed_counts(streams[0].unionByName(streams[1]), "ts", "event_type", "1 day", "30 days")
     counts.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{base}/out").where("event_type <> ''")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH c AS (SELECT DISTINCT file_id, clause_index FROM clauses WHERE file_id IS NOT NULL) SELECT file_id, CAST(clause_index AS BIGINT) AS position, 'clause' AS event, NULL AS n_clauses FROM c
+UNION ALL SELECT file_id, CAST(max(clause_index) + 1 AS BIGINT), 'done', count(*) FROM c GROUP BY file_id""")
+def stream_ordered_clauses(spark, root):
+    """A contract's clauses as events in order, closed by a `done` event with their number, through a stream."""
+    import uuid
+
+    from lexmill.session import shared_folder, stage
+    from lexmill.streaming import clauses as s
+
+    rows = table(spark, root, "clauses").select("file_id", "clause_index").where("file_id is not null").distinct()
+    written = stage(rows.repartition(4, "file_id"), "clauses")
+    base = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    stream = s.event_stream(spark, written.inputFiles()[0].rsplit("/", 1)[0], written.schema)
+    s.ordered_stream(stream, "file_id", "clause_index", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("file_id", "position", "event", F.get_json_object("payload", "$.count").cast("bigint").alias("n_clauses"))
+
+
+@query("SELECT analysis_id, 'live' AS source FROM (SELECT DISTINCT analysis_id FROM clause_analyses WHERE analysis_id IS NOT NULL ORDER BY analysis_id LIMIT 300)")
+def budgeted_resume(spark, root):
+    """Two runs of a model step with a budget of 150 calls each, the second going on where the first ended."""
+    import uuid
+
+    from lexmill.operators.audit import EchoClient
+    from lexmill.session import shared_folder
+    from lexmill.streaming import clauses as s
+
+    rows = table(spark, root, "clause_analyses").where("analysis_id is not null").groupBy("analysis_id").agg(F.min("conclusion").alias("conclusion"))
+    path = f"{shared_folder(spark)}/budgeted-{uuid.uuid4().hex}"
+    for _ in range(2):
+        s.budgeted(rows, path, ["analysis_id"], 150, lambda part: m.rubric(part, F.coalesce("conclusion", F.lit("")), EchoClient).select("analysis_id", "source", "score"))
+    return spark.read.parquet(path).select("analysis_id", "source")

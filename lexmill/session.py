@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,19 +34,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage reliably: checkpoint() in the folder of ``spark.checkpoint.dir``.
-
-    The setting is read from the session; only where it is unset (tests on one machine) a folder
-    is chosen here. The checkpoint survives the loss of executors.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or os.path.join("/tmp", "lexmill-checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of long texts holds in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -58,8 +47,13 @@ def driver_sized(df: DataFrame, limit_bytes: int) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of this machine's only where it names none."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexmill-checkpoints").rstrip("/")
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Where it is unset a session on one machine gets one of its own; a cluster's is refused."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "lexmill-checkpoints")
 
 
 _written: list = []

@@ -20,28 +20,90 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.*")
 
 
-def upsert(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str):
-    """Keeps in `target` the last row of each key: each micro-batch is merged into a new version of the table.
+BUCKETS = 64
 
-    The batch number names the version, so a batch that is replayed after a failure gives the same table.
+
+def _versions(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """(_bucket, _v): the newest version of each bucket of a table, older than `below` if given; None if there is no table yet."""
+    try:
+        rows = spark.read.parquet(target).select("_bucket", "_v")
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    rows = rows.where(F.col("_v") < below) if below is not None else rows
+    return rows.groupBy("_bucket").agg(F.max("_v").alias("_v"))
+
+
+def upsert(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS):
+    """Keeps in `target` the last row of each key: a micro-batch rewrites the buckets its keys lie in and no other.
+
+    The batch number names the version of its buckets and only older ones are read, so a batch that is replayed
+    after a failure gives the same table. Versions that two newer ones have replaced are removed.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        try:
-            known = spark.read.parquet(f"{target}/v{number - 1}")
-            batch = batch.unionByName(known)
-        except Exception as error:
-            if number > 0 and "PATH_NOT_FOUND" not in str(error):
-                raise
-        latest_by_key(batch, keys, order).write.mode("overwrite").parquet(f"{target}/v{number}")
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        known = _versions(spark, target, number)
+        if known is not None:
+            touched = batch.select("_bucket").distinct()
+            held = spark.read.parquet(target).join(known.join(touched, "_bucket", "left_semi"), ["_bucket", "_v"], "left_semi").select(*batch.columns)
+            batch = batch.unionByName(held)
+        latest = latest_by_key(batch, keys, order)
+        latest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/_v={number}")
+        _forget(spark, target, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest(spark: SparkSession, target: str, query) -> DataFrame:
-    """The table after the last micro-batch of a finished query."""
-    return spark.read.parquet(f"{target}/v{query.lastProgress['batchId']}")
+def _forget(spark: SparkSession, target: str, number: int) -> None:
+    """Removes the versions of the buckets just written that are older than the newest one before this batch."""
+    rows = spark.read.parquet(target).select("_bucket", "_v").distinct().collect()  # buckets times at most three versions
+    written = {r["_bucket"] for r in rows if r["_v"] == number}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for bucket in written:
+        older = sorted(r["_v"] for r in rows if r["_bucket"] == bucket and r["_v"] < number)
+        for v in older[:-1]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{target}/_v={v}/_bucket={bucket}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def newest(spark: SparkSession, target: str, query=None) -> DataFrame:
+    """The table as the last micro-batch left it."""
+    known = _versions(spark, target)
+    return spark.read.parquet(target).join(known, ["_bucket", "_v"], "left_semi").drop("_bucket", "_v")
+
+
+def ordered_stream(stream: DataFrame, document: str, index: str, target: str, checkpoint: str):
+    """Writes each micro-batch's rows as events, a document's `clause` events in order and then its `done` event with their number.
+
+    A document's rows come in one micro-batch; a task writes its documents one after the other. Columns: document, position, event, payload.
+    """
+
+    def emit(batch: DataFrame, number: int) -> None:
+        rows = batch.select(document, F.col(index).cast("bigint").alias("position"), F.lit("clause").alias("event"), F.to_json(F.struct(*batch.columns)).alias("payload"))
+        done = batch.groupBy(document).agg((F.coalesce(F.max(index), F.lit(-1)) + 1).cast("bigint").alias("position"), F.lit("done").alias("event"), F.to_json(F.struct(F.count(F.lit(1)).alias("count"))).alias("payload"))
+        rows.unionByName(done).repartition(document).sortWithinPartitions(document, "position", F.desc("event")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def budgeted(todo: DataFrame, finished: str, keys: list[str], budget: int, work) -> int:
+    """Works on at most `budget` rows whose key isn't in the table at `finished` yet, appends the results there and gives their number.
+
+    work: rows -> rows with the keys. A run that is stopped leaves no row of it; the next call goes on after what is finished.
+    """
+    spark = todo.sparkSession
+    try:
+        done = spark.read.parquet(finished).select(*keys)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        done = todo.select(*keys).limit(0)
+    before = done.count()
+    work(resume(todo, done, keys, budget)).write.mode("append").parquet(finished)
+    return spark.read.parquet(finished).count() - before
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
