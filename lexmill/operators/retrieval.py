@@ -188,7 +188,7 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query
             import pyarrow.compute as pc
 
             terms, asked_ids, matrix, avgdl = held.value
-            best, known = _Best(k), pa.array(terms, pa.string())
+            best, known, there = _Best(k), pa.array(terms, pa.string()), (matrix != 0).astype(np.float32)
             for batch in batches if len(terms) else ():
                 ids, lists = _ids(batch.column(0)), batch.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
@@ -200,9 +200,9 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query
                     first, last = np.searchsorted(owner, (lo, lo + CHUNK_DOCS))
                     n = min(CHUNK_DOCS, len(ids) - lo)
                     tf = np.bincount((owner[first:last] - lo) * len(terms) + at[first:last], minlength=n * len(terms)).reshape(n, -1).astype(float)
-                    met = (tf > 0) @ (matrix != 0)
+                    met = (tf > 0).astype(np.float32) @ there
                     scores = np.round((tf * (k1 + 1) / (tf + norm[lo : lo + n, None])) @ matrix, 6)
-                    scores[~met.astype(bool)] = -np.inf
+                    scores[met == 0] = -np.inf
                     best.add(*_top_rows(scores.T, ids[lo : lo + n], k))
             r, ids, s = best.best()
             if len(r):

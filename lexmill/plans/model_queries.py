@@ -79,7 +79,7 @@ def stream_clause_upsert(spark, root):
     stream = s.event_stream(spark, folder, written.schema)
     done = s.upsert(stream, f"{base}/table", ["user_id"], ["ts", "event_id"], f"{base}/checkpoint", buckets=8)
     done.awaitTermination()
-    return s.newest(spark, f"{base}/table", done).select("user_id", "event_id", "event_type", "value")
+    return s.newest(spark, f"{base}/table", stream.schema).select("user_id", "event_id", "event_type", "value")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -23,16 +23,18 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 BUCKETS = 64
 
 
-def _versions(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """(_bucket, _v): the newest version of each bucket of a table, older than `below` if given; None if there is no table yet."""
-    try:
-        rows = spark.read.parquet(target).select("_bucket", "_v")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    rows = rows.where(F.col("_v") < below) if below is not None else rows
-    return rows.groupBy("_bucket").agg(F.max("_v").alias("_v"))
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Bucket -> its versions, oldest first, from the names of a table's folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_v=*/_bucket=*")
+    found: dict[int, list[int]] = {}
+    for status in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or ():
+        held = status.getPath()
+        found.setdefault(int(held.getName().removeprefix("_bucket=")), []).append(int(held.getParent().getName().removeprefix("_v=")))
+    return {bucket: sorted(v) for bucket, v in found.items()}
+
+
+def _read(spark: SparkSession, target: str, schema, newest_of: dict[int, int]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*(f"{target}/_v={v}/_bucket={b}" for b, v in sorted(newest_of.items())))
 
 
 def upsert(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS):
@@ -41,38 +43,30 @@ def upsert(stream: DataFrame, target: str, keys: list[str], order: list[str], ch
     The batch number names the version of its buckets and only older ones are read, so a batch that is replayed
     after a failure gives the same table. Versions that two newer ones have replaced are removed.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        known = _versions(spark, target, number)
-        if known is not None:
-            touched = batch.select("_bucket").distinct()
-            held = spark.read.parquet(target).join(known.join(touched, "_bucket", "left_semi"), ["_bucket", "_v"], "left_semi").select(*batch.columns)
-            batch = batch.unionByName(held)
-        latest = latest_by_key(batch, keys, order)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
+        held = {b: [v for v in vs if v < number] for b, vs in _versions(spark, target).items() if b in touched}
+        before = {b: vs[-1] for b, vs in held.items() if vs}
+        if before:
+            batch = batch.unionByName(_read(spark, target, schema, before))
+        latest = latest_by_key(batch, keys, order).withColumn("_bucket", bucket)
         latest.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/_v={number}")
-        _forget(spark, target, number)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for b, vs in held.items():
+            for v in vs[:-1]:
+                path = jvm.org.apache.hadoop.fs.Path(f"{target}/_v={v}/_bucket={b}")
+                path.getFileSystem(conf).delete(path, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _forget(spark: SparkSession, target: str, number: int) -> None:
-    """Removes the versions of the buckets just written that are older than the newest one before this batch."""
-    rows = spark.read.parquet(target).select("_bucket", "_v").distinct().collect()  # buckets times at most three versions
-    written = {r["_bucket"] for r in rows if r["_v"] == number}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for bucket in written:
-        older = sorted(r["_v"] for r in rows if r["_bucket"] == bucket and r["_v"] < number)
-        for v in older[:-1]:
-            path = jvm.org.apache.hadoop.fs.Path(f"{target}/_v={v}/_bucket={bucket}")
-            path.getFileSystem(conf).delete(path, True)
-
-
-def newest(spark: SparkSession, target: str, query=None) -> DataFrame:
+def newest(spark: SparkSession, target: str, schema) -> DataFrame:
     """The table as the last micro-batch left it."""
-    known = _versions(spark, target)
-    return spark.read.parquet(target).join(known, ["_bucket", "_v"], "left_semi").drop("_bucket", "_v")
+    known = {b: vs[-1] for b, vs in _versions(spark, target).items()}
+    return _read(spark, target, schema, known) if known else spark.createDataFrame([], schema)
 
 
 def ordered_stream(stream: DataFrame, document: str, index: str, target: str, checkpoint: str):
