@@ -156,6 +156,9 @@ _KINDS = _Kinds()
 _LETTERS = re.compile("[A-Za-z]+")
 
 
+_LATIN_WORD = re.compile("[a-zß-öø-ɏḁ-ỿ]+")
+
+
 def script(text: str) -> str:
     """zh, ja, ko, en, latin (another language in Latin letters), other, or '' if there is too little to tell."""
     if text.isascii():
@@ -175,7 +178,8 @@ def script(text: str) -> str:
         return "ko"
     if most == other:
         return "other"
-    words = re.findall(r"[^\W\d_]+", text.lower())
+    # ideographs between Latin words, as of a page number that a scan left there, are no words of another language
+    words = _LATIN_WORD.findall(text.lower())
     if len(words) < 3:
         return ""
     strange = sum(any(ord(c) > 127 for c in w) for w in words)
@@ -320,7 +324,7 @@ def training_data(rows: list[tuple[str | None, str | None, str | None]]) -> list
         if rng.random() < 0.4:  # breaks off
             k = rng.randrange(n)
             body = parts[k].rstrip("。.!?！？ ")
-            cut = body[: max(2, int(len(body) * rng.uniform(0.2, 0.9)))] + rng.choice(["", "", "", "，", "…", "及"])
+            cut = body[: max(2, int(len(body) * rng.uniform(0.2, 0.9)))] + rng.choice(["", "", "，", "，", "…", "及"] if p.script == "zh" else ["", "", ",", ",", "...", " and"])
             add([*parts[:k], cut], p, [tag["answer"]] * k + [tag["unfinished"]], rng.random() < 0.4)
         if rng.random() < 0.4:  # nothing but the prompt
             echo = segments(re.sub(r"\s*\n\s*", rng.choice(["", " ", "\n"]), text))

@@ -56,3 +56,8 @@ def test_query(spark):
     assert got[1000, "analysis"] == got[1001, "analysis"] == got[1001, "conclusion"] == "empty" and (1000, "conclusion") not in got
     assert got[1002, "analysis"] == "truncated"
     assert d.pair_defects(frame.limit(0)).collect() == []
+
+
+def test_page_numbers_in_a_clause_do_not_change_its_language():
+    clause = "第 2 頁\n\nWithin 100 days the disputed occupant renovates the agreed account and returns the keys.\n第三頁，共三頁"
+    assert d.script(clause) == "en" and d.script("Der Mieter muss die Kaution zahlen, sofern nötig.") == "latin" and d.script("Bên thuê phải trả tiền đúng hạn") == "latin"
