@@ -132,7 +132,23 @@ _P5 = """WITH c AS (SELECT chunk_id, coalesce(section, '') AS section, content F
      k AS (SELECT chunk_id, section, max(CASE WHEN longest > 800 THEN 'hard' ELSE 'boundary' END) AS cut_kind FROM m GROUP BY chunk_id, section)
 """
 
+# every run of 160 characters of every text, by its digest
+_RUNS = "w AS (SELECT DISTINCT doc_id, i, md5(substr(text, i, 160)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160)), s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), r AS (SELECT doc_id, i, h FROM w JOIN s USING (h))"
+_LABEL = "regexp_replace(regexp_replace(lower({0}), '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g'), '[\\s_-]+', '_', 'g')"
+_MEANT = f"CASE WHEN {_LABEL} IN ('accurate', 'incomplete') THEN 'not_hallucination' ELSE {_LABEL} END"
+_FLAG = "CASE {0} WHEN 1 THEN 'hallucination' WHEN 0 THEN 'not_hallucination' END"
+
 SQL: dict[str, str] = {
+    "p10_found": f"WITH {_RUNS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM r) a JOIN (SELECT DISTINCT doc_id, h FROM r) b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shared": f"""WITH {_RUNS}, g AS (SELECT doc_id, least(160, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 160)) AS c FROM (SELECT DISTINCT doc_id, i FROM r)), c AS (SELECT doc_id, sum(c) AS c FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(c, 0) / length(text), 4) ELSE 0e0 END AS shared_share FROM documents LEFT JOIN c USING (doc_id)""",
+    "p7_agreement": f"""WITH v AS (SELECT 'claim' AS task, sample_id AS item, 'gpt_5_mini' AS rater, {_LABEL.replace('{0}', 'gpt_5_mini')} AS label, NULL AS voted FROM cross_model_judge UNION ALL SELECT 'claim', sample_id, 'gpt_4o', {_LABEL.replace('{0}', 'gpt_4o')}, NULL FROM cross_model_judge
+ UNION ALL SELECT 'hallucination', item_key, 'human', CASE WHEN {_MEANT.replace('{0}', 'human_label')} IN ('hallucination', 'not_hallucination') THEN {_MEANT.replace('{0}', 'human_label')} ELSE {_FLAG.replace('{0}', 'human_hall')} END, NULL FROM reglab_checkpoint UNION ALL SELECT 'hallucination', item_key, 'judge', {_FLAG.replace('{0}', 'judge_hall')}, NULL FROM reglab_checkpoint
+ UNION ALL SELECT t.task, item_id, rater_id, {_MEANT.replace('{0}', 'label')}, voted_at FROM rater_labels, (VALUES ('claim'), ('hallucination')) AS t(task)),
+ k AS (SELECT * FROM v WHERE (task = 'claim' AND label IN ('supported', 'partial', 'unsupported') AND item IN (SELECT sample_id FROM cross_model_judge)) OR (task = 'hallucination' AND label IN ('hallucination', 'not_hallucination') AND item IN (SELECT item_key FROM reglab_checkpoint))),
+ o AS (SELECT task, item, rater, label FROM k WHERE rater IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, item, rater ORDER BY coalesce(voted, TIMESTAMP '1970-01-01') DESC, label DESC) = 1),
+ c AS (SELECT task, item, label, count(*) AS c FROM o GROUP BY ALL), i AS (SELECT task, item, sum(c) AS m, sum(c * c) AS sq FROM c GROUP BY 1, 2 HAVING sum(c) > 1), l AS (SELECT task, label, sum(c) AS n FROM c JOIN i USING (task, item) GROUP BY 1, 2), e AS (SELECT task, 1 - (sum(n * n) - sum(n)) / (sum(n) * (sum(n) - 1)) AS expected FROM l GROUP BY 1),
+ s AS (SELECT task, count(*) AS n_items, CAST(sum(m) AS BIGINT) AS n_votes, sum((m * m - sq) / (m - 1)) / sum(m) AS observed FROM i GROUP BY 1) SELECT task, n_items, n_votes, round(observed, 6) AS observed, round(expected, 6) AS expected, round(CASE WHEN expected > 0 THEN 1 - observed / expected ELSE 1 END, 6) AS alpha FROM s JOIN e USING (task)""",
     "p5_found": _P5 + "SELECT chunk_id, max(cut_kind) AS cut_kind FROM k GROUP BY chunk_id",
     "p5_counts": _P5 + "SELECT section, f.cut_kind, count(*) AS n_chunks FROM k JOIN (SELECT chunk_id, max(cut_kind) AS cut_kind FROM k GROUP BY chunk_id) f USING (chunk_id) GROUP BY 1, 2",
     "p6_corroborated": """
