@@ -7,20 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
-from lexmill.operators import evaluation, graph, model_steps, retrieval
+from lexmill.operators import embedding, evaluation, graph, model_steps, retrieval
 from lexmill.sources import readers
+from lexmill.streaming import clauses as streams
 
 
 class Engine:
     """Collections of statutes and judgements with vectors, and an optional model client and embedder.
 
     statutes and judgements: key columns `vec_id`, `embedding`, and `article` (the canonical article a row
-    stands for or cites), `text`. embed: a column function text -> array<double>.
+    stands for or cites), `text`. embed: a column function text -> array<double>,
+    or an object with `encode(texts, kind)` (see `operators.embedding`).
     """
 
     def __init__(self, spark: SparkSession, statutes: DataFrame, judgements: DataFrame, embed, make_client=None):
         self.spark, self.statutes, self.judgements, self.embed, self.make_client = spark, statutes, judgements, embed, make_client
 
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        if hasattr(self.embed, "encode"):
+            return embedding.embedded(queries, "query_id", "text", self.embed, "query").withColumnRenamed("query_id", "vec_id")
+        return queries.select(F.col("query_id").alias("vec_id"), self.embed(F.col("text")).alias("embedding"))
+
     def health(self) -> DataFrame:
         return self.spark.createDataFrame([("ok", "live" if self.make_client else "mock")], "status string, model string")
 
@@ -32,14 +39,14 @@ class Engine:
 
     def retrieve(self, queries: DataFrame, k: int = 3, pool: int = 20, boost: float = 0.2) -> DataFrame:
         """queries: query_id, text. (query_id, vec_id, score, rk) of statutes, boosted where the text names the article."""
-        asked = queries.select(F.col("query_id").alias("vec_id"), self.embed(F.col("text")).alias("embedding"))
+        asked = self._asked(queries)
         hits = retrieval.exact_topk(asked, self.statutes, max(k, pool), exclude_self=False).drop("rk")
         named = queries.select("query_id", t.article_list(F.col("text")).alias("_named"))
         marked = hits.join(named, "query_id").join(self.statutes.select("vec_id", "article"), "vec_id")
         return retrieval.boosted(marked, F.coalesce(F.array_contains("_named", F.col("article")), F.lit(False)), k, "vec_id", boost).drop("_named", "article")
 
     def triangulate(self, queries: DataFrame, k: int = 3) -> DataFrame:
-        asked = queries.select(F.col("query_id").alias("vec_id"), self.embed(F.col("text")).alias("embedding"))
+        asked = self._asked(queries)
         law, case = (retrieval.exact_topk(asked, c, k, exclude_self=False).join(c.select("vec_id", "article"), "vec_id") for c in (self.statutes, self.judgements))
         return retrieval.corroborated(law, case, "article", queries)
 
@@ -62,5 +69,20 @@ class Engine:
     def object(self, claims: DataFrame, column: str = "claim") -> DataFrame:
         return model_steps.debate(claims, F.col(column), self.make_client)
 
+    def demo(self, documents: DataFrame, key: str = "path", n: int = 3) -> DataFrame:
+        """The first clauses of the documents in order, as a preview."""
+        return self.clauses(documents, key).orderBy(key, "clause_index").limit(n)
+
+    def stream(self, clauses: DataFrame, target: str, checkpoint: str, document: str = "path", index: str = "clause_index"):
+        """A stream of clauses as ordered events, each document closed by a `done` event."""
+        return streams.ordered_stream(clauses, document, index, target, checkpoint)
+
+    def evaluate(self, queries: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+        """Mean recall, precision, MRR and nDCG by k of retrieval. relevant: query_id, vec_id."""
+        hits = self.retrieve(queries, max(ks))
+        marked = hits.join(relevant.select("query_id", "vec_id").distinct().withColumn("rel", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "rk", F.coalesce("rel", F.lit(False)).alias("rel"))
+        total = relevant.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n_rel"))
+        return evaluation.ir_report(evaluation.marked_metrics(marked, total, list(ks), queries))
+
     def missed(self, edges: DataFrame, cited: DataFrame, top: int = 5) -> DataFrame:
         return graph.suggest_missed(edges, cited, top)

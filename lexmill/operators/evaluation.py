@@ -72,20 +72,27 @@ def resolve(keys: DataFrame, texts: DataFrame, raw: str = "raw", canonical: str
     return found.withColumn("content", F.coalesce("_a", "_b", F.lit("(not found)"))).drop("_a", "_b")
 
 
+#: Modes of one experiment; each item is repeated for each.
+MODES = 1000
+
+
 def basis(gold: DataFrame, cited: DataFrame, how: str) -> DataFrame:
     """(mode, item, content): what each mode's answer is audited against. gold: item, content; cited: mode, item, content.
 
     `gold`: the gold texts alone; `union`: with the mode's own; `shared`: with those of all modes. Equal
     contents count once.
     """
-    modes = cited.select("mode").distinct()
-    base = gold.select("item", "content").crossJoin(F.broadcast(modes)).select("mode", "item", "content")  # a few modes
+    modes = [r[0] for r in cited.select("mode").distinct().limit(MODES + 1).collect()]
+    if len(modes) > MODES:
+        raise ValueError(f"more than {MODES} modes are no modes of one experiment")
+    of = F.explode(F.array(*map(F.lit, modes)).cast("array<string>")).alias("mode")
+    base = gold.select(of, "item", "content")
     if how == "gold":
         return base.distinct()
     if how == "union":
         return base.unionByName(cited.select("mode", "item", "content")).distinct()
     if how == "shared":
-        every = cited.select("item", "content").distinct().crossJoin(F.broadcast(modes)).select("mode", "item", "content")
+        every = cited.select("item", "content").distinct().select(of, "item", "content")
         return base.unionByName(every).distinct()
     raise ValueError(f"unknown basis: {how}")
 

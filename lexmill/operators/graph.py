@@ -3,18 +3,24 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.pairs import BLOCK, pair_rows
 from lexmill.session import stage
 
 
-def pair_edges(items: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
+def pair_edges(items: DataFrame, group: str, item: str, least: int = 1, block: int = BLOCK) -> DataFrame:
     """(a, b, w), a < b: in how many groups both items occur, at least `least`.
 
-    The pairs of a group are made from its set of items where that set is small, which it is for a
-    record's citations; rows are made distinct before.
+    Groups of up to `block` different items make their pairs where their set is; the pairs of larger ones are spread
+    over blocks of the group (`pair_rows`), so that no task holds one.
     """
-    sets = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, F.col(item).alias("i")).distinct().groupBy(group).agg(F.array_sort(F.collect_list("i")).alias("s")).where("size(s) > 1")
+    rows = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    large = stage(rows.groupBy("g").count().where(F.col("count") > block).select("g"), "large")
+    sets = rows.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list("i")).alias("s")).where("size(s) > 1")
     firsts = sets.select("s", F.posexplode("s").alias("p", "a"))
-    return firsts.select("a", F.explode(F.slice("s", F.col("p") + 2, F.size("s"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= least)
+    pairs = firsts.select("a", F.explode(F.slice("s", F.col("p") + 2, F.size("s"))).alias("b"))
+    if not large.isEmpty():
+        pairs = pairs.unionByName(pair_rows(rows.join(large, "g", "left_semi"), ["g"], "i", block).select(F.col("item_a").alias("a"), F.col("item_b").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= least)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

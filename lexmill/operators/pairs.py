@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def pairs_in_groups(members: DataFrame, keys: list[str], item: str, block: int = BLOCK) -> DataFrame:
-    """Distinct (item_a, item_b), item_a < item_b, of items that share a group; null keys and items make none.
+def pair_rows(members: DataFrame, keys: list[str], item: str, block: int = BLOCK) -> DataFrame:
+    """(keys, item_a, item_b), item_a < item_b, once for each group that holds both; null keys and items make none.
 
     A group of m items is spread over ceil(m / block) blocks by the item's hash; a pair is made only
     in the task of its two blocks, so a task holds about two blocks of a group at most.
@@ -21,4 +21,9 @@ def pairs_in_groups(members: DataFrame, keys: list[str], item: str, block: int =
     on = [*keys, "_lo", "_hi"]
     left, right = cells.withColumnsRenamed({"_i": "item_a", "_b": "_ba"}), cells.withColumnsRenamed({"_i": "item_b", "_b": "_bb"})
     met = left.join(right, on).where("item_a < item_b and ((_lo = _hi) or _ba <> _bb)")
-    return met.select("item_a", "item_b").distinct()
+    return met.select(*keys, "item_a", "item_b")
+
+
+def pairs_in_groups(members: DataFrame, keys: list[str], item: str, block: int = BLOCK) -> DataFrame:
+    """Distinct (item_a, item_b), item_a < item_b, of items that share a group; null keys and items make none."""
+    return pair_rows(members, keys, item, block).select("item_a", "item_b").distinct()

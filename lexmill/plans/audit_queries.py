@@ -185,6 +185,19 @@ def cross_agreement_rows(spark, root):
     return rows.withColumn("agree3", F.col("label_a") == F.col("label_b")).withColumn("agree2", (F.col("label_a") == "supported") == (F.col("label_b") == "supported")).distinct()
 
 
+_THREE = ("r01", "r02", "r03")
+
+
+@query(f"WITH v AS (SELECT DISTINCT item_id, rater_id, {_LAB.replace('{0}', 'label')} AS x FROM rater_labels WHERE rater_id IN {_THREE}), k AS (SELECT item_id, rater_id, min(x) AS x FROM v WHERE x IN ('supported', 'partial', 'unsupported', 'hallucination', 'accurate', 'incomplete') GROUP BY 1, 2) SELECT item_id, list(x ORDER BY rater_id) AS labels, count(DISTINCT x) = 1 AS all_agree FROM k GROUP BY item_id HAVING count(*) = 3")
+def judges_in_common(spark, root):
+    """Items that three raters all labelled, with their labels in the raters' order."""
+    known = ("supported", "partial", "unsupported", "hallucination", "accurate", "incomplete")
+    rows = table(spark, root, "rater_labels").where(F.col("rater_id").isin(*_THREE)).select("item_id", "rater_id", _label("label").alias("x")).where(F.col("x").isin(*known))
+    one = rows.groupBy("item_id", "rater_id").agg(F.min("x").alias("x"))
+    sets = one.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rater_id", "x"))).alias("l")).where("size(l) = 3")
+    return sets.select("item_id", F.col("l.x").alias("labels"), (F.size(F.array_distinct("l.x")) == 1).alias("all_agree"))
+
+
 _HUMAN = "CASE WHEN regexp_matches(lower(human_label), 'halluc|incorrect|unfaithful|incomplete|unsupported') OR lower(trim(human_label)) IN ('1', 'true', 'yes') THEN 'hallucination' WHEN trim(human_label) <> '' THEN 'accurate' END"
 
 

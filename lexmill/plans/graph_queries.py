@@ -89,7 +89,7 @@ def pagerank_scaled(spark, root):
     """Ranks scaled to 0..1; the extremes are aggregated, not windowed over all rows."""
     ranks = stage(g.pagerank(_edges(spark, root), rounds=5), "ranks")
     ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    return ranks.join(F.broadcast(ends), F.lit(True)).select("node", F.round((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")), 4).alias("scaled"))
+    return ranks.join(ends, F.lit(True)).select("node", F.round((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")), 4).alias("scaled"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c(node, reach) AS (SELECT DISTINCT a, a FROM d UNION SELECT c.node, d.b FROM c JOIN d ON d.a = c.reach)
@@ -99,6 +99,15 @@ def connected_components(spark, root):
     return g.components(_edges(spark, root, 4))
 
 
+@query(_RANK + " SELECT node, regexp_replace(regexp_replace(regexp_replace(node, '^民法__第_', '民'), '^消費者保護法__第_', '消保'), '_條$', '') AS short_label, round(r, 8) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(r, 8) DESC, node) AS rk FROM r5) WHERE rk <= 15")
+def central_articles(spark, root):
+    """The 15 most central articles with their short labels."""
+    ranks = g.pagerank(_edges(spark, root), rounds=5).select("node", F.round("rank", 8).alias("rank")).orderBy(F.desc("rank"), "node").limit(15)
+    named = F.regexp_replace("node", "^(.*)__第_([0-9-]+)_條$", "$1第$2條")
+    short = F.when(F.col("node").rlike("^(民法|消費者保護法)__"), t.short_label(named)).otherwise(F.regexp_replace("node", "_條$", ""))
+    return ranks.select("node", short.alias("short_label"), "rank")
+
+
 @query()
 def louvain_report(spark, root):
     """The eight largest communities with their eight most central articles (tested on graphs with known communities)."""
@@ -106,7 +115,7 @@ def louvain_report(spark, root):
     rows = stage(g.communities(edges).join(g.pagerank(edges, rounds=20), "node"), "members")
     sizes = rows.groupBy("community").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "community").limit(8)
     order = Window.partitionBy("community").orderBy(F.desc("rank"), "node")
-    top = rows.join(F.broadcast(sizes), "community").withColumn("rk", F.row_number().over(order)).where("rk <= 8")
+    top = rows.join(sizes, "community").withColumn("rk", F.row_number().over(order)).where("rk <= 8")
     return top.select("community", "size", "rk", "node", F.round("rank", 6).alias("rank"))
 
 

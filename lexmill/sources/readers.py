@@ -11,6 +11,7 @@ from lexmill.functions import text as t
 
 STATUTES = "Laws array<struct<LawName: string, LawCategory: string, LawArticles: array<struct<ArticleType: string, ArticleNo: string, ArticleContent: string>>>>"
 RECORD = "JID string, case_id string, JYEAR string, JCASE string, JNO string, court string, JCOURT string, JDATE string, date string, JTITLE string, cause string, JFULL string, full_text string, summary string"
+# Keys under which files wrap their list.
 ENVELOPES = ("data", "items", "results", "Judgements")
 
 
@@ -173,16 +174,18 @@ def pick(columns: list[str], candidates: tuple[str, ...]) -> str | None:
 
 
 def label_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of one or several CSV sheets with a header; files may differ in columns; a byte order mark is dropped."""
-    files = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,CSV}").option("recursiveFileLookup", True).load(path).select("path").toLocalIterator()]
+    """Rows of one or several CSV sheets with a header; files may differ in columns; a byte order mark is dropped. Files of one header are read by one scan."""
+    texts = spark.read.option("pathGlobFilter", "*.{csv,CSV}").option("recursiveFileLookup", True).text(path, wholetext=True)
+    head = F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "^\ufeff|\r$", ""))
     out = None
-    for (name,) in sorted(files):
-        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(name)
+    for header, files in texts.groupBy(head.alias("h")).agg(F.array_sort(F.collect_list("_metadata.file_path"))).orderBy("h").toLocalIterator():
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)
         rows = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "sample_id string, label string")
 
 
+# The names that external corpora and query sets give their fields.
 CORPUS_KEYS = ("law_id", "id", "reference_law_id", "article_id")
 CORPUS_TEXTS = ("content", "text", "law_text", "article")
 QUERY_TEXTS = ("query_tw", "query", "question", "query_en", "fact")
@@ -211,9 +214,16 @@ def external_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inspect(spark: SparkSession, path: str, files: int = 20) -> list[tuple[str, str]]:
-    """(file, first 200 characters) of the first files of a directory: a preview, not a scan."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.substring(F.col("content").cast("string"), 1, 200).alias("head"))
-    return [(r["path"], r["head"]) for r in listed.orderBy("path").limit(files).collect()]
+    """(file, first 200 characters) of the first files of a directory: names are listed, and only these files are read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    names = []
+    while found.hasNext():
+        names = sorted([*names, found.next().getPath().toString()])[:files]
+    if not names:
+        return []
+    rows = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.substring("value", 1, 200).alias("head"))
+    return [(r["path"], r["head"]) for r in rows.orderBy("path").collect()]
 
 
 def guarded(path: str, forbidden: str = "test") -> str:
