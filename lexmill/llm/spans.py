@@ -160,7 +160,7 @@ def repeated_edges(rows: DataFrame, extra: DataFrame, least: int = LEAST) -> Dat
 
     seen = rows.select(F.xxhash64("t").alias("digest"), "t").mapInArrow(hashes, "h bigint, digest bigint")
     twice = stage(seen.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("h"), "twice")
-    filtered = key_filter(twice)
+    filtered = key_filter(twice, ready=True)
     held = rows.sparkSession.sparkContext.broadcast(filtered.held) if filtered.held is not None else None
 
     def places(batches):
@@ -187,17 +187,23 @@ def edge_links(repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by.select("h", "len", "n"), links
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """Every link followed by the link of the edge it leads to, if that has one."""
+    ahead = links.select(F.col("h").alias("to"), F.col("to").alias("far"), F.col("off").alias("more"))
+    joined = links.join(ahead, "to", "left")
+    return joined.select("h", F.coalesce("far", "to").alias("to"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), (F.col("moved") | F.col("far").isNotNull()).alias("moved"))
+
+
 def compacted(edges: DataFrame, links: DataFrame) -> DataFrame:
     """(path, chars, n_edges, n_visits, last_len): nonbranching paths, named by the hash of their first edge.
 
-    Links are doubled, a join a round: afterwards each edge points to the head of its path. Links can't form a
+    Links are doubled by joins, twice a round: afterwards each edge points to the head of its path. Links can't form a
     circle, as the first edge of a text has none before it, so the rounds end after the logarithm of the longest path.
     """
     links = stage(links, "links")
     while True:
-        ahead = links.select(F.col("h").alias("to"), F.col("to").alias("far"), F.col("off").alias("more"))
-        longer = links.join(ahead, "to", "left").select("h", F.coalesce("far", "to").alias("to"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("far").isNotNull().alias("moved"))
-        longer = stage(longer, "links")
+        # two joins a round: each link is followed to four times its length
+        longer = stage(_doubled(_doubled(links.withColumn("moved", F.lit(False)))), "links")
         moved = not longer.where("moved").isEmpty()
         links = longer.drop("moved")
         if not moved:
