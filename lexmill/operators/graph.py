@@ -14,11 +14,16 @@ def pair_edges(items: DataFrame, group: str, item: str, least: int = 1, block: i
     over blocks of the group (`pair_rows`), so that no task holds one.
     """
     rows = items.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    large = stage(rows.groupBy("g").count().where(F.col("count") > block).select("g"), "large")
-    sets = rows.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list("i")).alias("s")).where("size(s) > 1")
+    sizes = rows.groupBy("g").count()
+    small = rows
+    over = (sizes.agg(F.max("count")).first()[0] or 0) > block
+    if over:
+        large = stage(sizes.where(F.col("count") > block).select("g"), "large")
+        small = rows.join(large, "g", "left_anti")
+    sets = small.groupBy("g").agg(F.array_sort(F.collect_list("i")).alias("s")).where("size(s) > 1")
     firsts = sets.select("s", F.posexplode("s").alias("p", "a"))
     pairs = firsts.select("a", F.explode(F.slice("s", F.col("p") + 2, F.size("s"))).alias("b"))
-    if not large.isEmpty():
+    if over:
         pairs = pairs.unionByName(pair_rows(rows.join(large, "g", "left_semi"), ["g"], "i", block).select(F.col("item_a").alias("a"), F.col("item_b").alias("b")))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= least)
 

@@ -134,10 +134,11 @@ def test_held(held: list[np.ndarray], h: np.ndarray) -> np.ndarray:
     return out
 
 
-def key_filter(hashes: DataFrame, shard_bytes: int = SHARD_BYTES, held_bytes: int = HELD_BYTES) -> KeyFilter:
-    """The filter of a one-column table of 64-bit hashes (bigint); nulls are left out."""
-    rows = hashes.toDF("h").where("h is not null").distinct()
-    rows = stage(rows, "keys")
+def key_filter(hashes: DataFrame, shard_bytes: int = SHARD_BYTES, held_bytes: int = HELD_BYTES, ready: bool = False) -> KeyFilter:
+    """The filter of a one-column table of 64-bit hashes (bigint); nulls are left out. ready: the table is staged, with distinct hashes."""
+    rows = hashes.toDF("h").where("h is not null")
+    if not ready:
+        rows = stage(rows.distinct(), "keys")
     n = rows.count()
     per_shard = shard_bytes * 8 // BITS_PER_KEY
     shards = max(1, -(-n // per_shard))

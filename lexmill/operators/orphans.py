@@ -26,7 +26,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, at: str = "at",
     """
     references, parents = references.where("key is not null"), parents.where("key is not null")
     one = stage(parents.groupBy("key").agg(F.min("since").alias("_since"), F.when(F.count("until") == F.count(F.lit(1)), F.max("until")).alias("_until")), "parents")
-    held = key_filter(one.select(F.xxhash64("key")), shard_bytes, held_bytes)
+    held = key_filter(one.select(F.xxhash64("key")), shard_bytes, held_bytes, ready=True)  # `one` is staged with one row a key
     marked = stage(held.mark(references, F.xxhash64("key"), "_may"), "references")
     absent, rest = marked.where("not _may").drop("_may").withColumn("reason", F.lit("missing")), marked.where("_may").drop("_may")
     # a parent that very many records refer to is a hot key of this join: its side is one row, the other is split (adaptive skew join) or, if the parents are few, they are broadcast

@@ -188,7 +188,7 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query
             import pyarrow.compute as pc
 
             terms, asked_ids, matrix, avgdl = held.value
-            best, known, there = _Best(k), pa.array(terms, pa.string()), (matrix != 0).astype(np.float32)
+            best, known, positive = _Best(k), pa.array(terms, pa.string()), bool((matrix >= 0).all())
             for batch in batches if len(terms) else ():
                 ids, lists = _ids(batch.column(0)), batch.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
@@ -199,10 +199,13 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int, query_key: str, query
                 for lo in range(0, len(ids), CHUNK_DOCS):
                     first, last = np.searchsorted(owner, (lo, lo + CHUNK_DOCS))
                     n = min(CHUNK_DOCS, len(ids) - lo)
-                    tf = np.bincount((owner[first:last] - lo) * len(terms) + at[first:last], minlength=n * len(terms)).reshape(n, -1).astype(float)
-                    met = (tf > 0).astype(np.float32) @ there
-                    scores = np.round((tf * (k1 + 1) / (tf + norm[lo : lo + n, None])) @ matrix, 6)
-                    scores[met == 0] = -np.inf
+                    # only terms that these documents hold
+                    here, column = np.unique(at[first:last], return_inverse=True)
+                    tf = np.bincount((owner[first:last] - lo) * len(here) + column, minlength=n * len(here)).reshape(n, -1).astype(float)
+                    w = matrix[here]
+                    scores = np.round((tf * (k1 + 1) / (tf + norm[lo : lo + n, None])) @ w, 6)
+                    met = scores > 0 if positive else (tf > 0).astype(np.float32) @ (w != 0).astype(np.float32) > 0
+                    scores[~met] = -np.inf
                     best.add(*_top_rows(scores.T, ids[lo : lo + n], k))
             r, ids, s = best.best()
             if len(r):
