@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,15 +108,18 @@ def decode_ids(ids, enc) -> str:
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{VOCABULARY_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(key, ids) of every row; null and empty texts give []. Other columns are not read.
 
-    A narrow map without shuffle: every Arrow batch is encoded where it is read.
+    A narrow map without shuffle: every Arrow batch is encoded where it is read. The vocabulary is shipped with
+    the job, so that an executor needn't have it.
     """
     small_batches(documents.sparkSession)
+    if os.path.exists(vocabulary):
+        documents.sparkSession.sparkContext.addFile(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
 
     def encode(batches):
         import pyarrow as pa
 
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary)))
         for batch in batches:
             flat, offsets = array.array("i"), array.array("i", [0])
             for value in batch.column(1):
