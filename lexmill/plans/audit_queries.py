@@ -12,7 +12,7 @@ from lexmill.operators import evaluation as ev
 from lexmill.operators import model_steps as m
 from lexmill.operators import retrieval as rt
 from lexmill.operators import statistics as st
-from lexmill.plans.retrieval_queries import _LAB, _canon_sql, _kappa_sql, _label
+from lexmill.plans.retrieval_queries import _LAB, _TOKENS, _canon_sql, _kappa_sql, _label
 from lexmill.session import table
 
 QUERIES: dict = {}
@@ -167,6 +167,39 @@ def rubric_classify(spark, root):
     return m.classify(rows, prompt, list(labels), lambda: au.EchoClient(labels)).select("sample_id", "source", "score", "label")
 
 
+_MASKED = "regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Z][12][0-9]{8}', '[身分證]', 'g'), '09[0-9]{2}[-\\s]?[0-9]{3}[-\\s]?[0-9]{3}', '[手機]', 'g'), '0[0-9]{1,2}[-\\s]?[0-9]{6,8}', '[電話]', 'g')"
+
+
+@query(f"SELECT clause_id, 'live' AS source, substr('Clause:' || chr(10) || {_MASKED} || chr(10) || chr(10) || 'Statutes:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Judgements:', 1, 40) AS issue FROM clauses")
+def analysis_from_prompt(spark, root):
+    """Analyses by a client that gives the beginning of its prompt back: prompt, masking, answer and parser in one."""
+    rows = table(spark, root, "clauses").select("clause_id", "text")
+    none = F.array().cast("array<struct<text string, score double>>")
+    got = m.analyse(rows, m.analysis_prompt(F.col("text"), none, none), lambda: au.EchoClient(fields=("issue", "rule", "application", "conclusion")))
+    return got.select("clause_id", "source", "result.issue")
+
+
+@query("""WITH a AS (SELECT sample_id, 20 + length(claim) AS n FROM cross_model_judge WHERE claim IS NOT NULL), b AS (SELECT *, n || ' characters are no proof' AS s1 FROM a), c AS (SELECT *, (n + 10 + length(s1)) || ' characters are no proof' AS s2 FROM b)
+SELECT sample_id, [s1, s2, (n + 10 + length(s1) + 3 + length(s2)) || ' characters are no proof'] AS objections FROM c""")
+def devil_rounds(spark, root):
+    """Three rounds of objection, each prompt holding the objections before it, by a client that counts its prompt."""
+    rows = table(spark, root, "cross_model_judge").select("sample_id", "claim").where("claim is not null")
+    return m.debate(rows, F.col("claim"), au.EchoClient).select("sample_id", "objections")
+
+
+_BAGS = "d AS (SELECT DISTINCT analysis_id, conclusion, clause_text FROM clause_analyses WHERE conclusion <> '' AND clause_text <> ''), v AS (SELECT analysis_id, conclusion, list_distinct(" + _TOKENS.replace("{0}", "conclusion") + ") AS a, list_distinct(" + _TOKENS.replace("{0}", "clause_text") + ") AS b FROM d)"
+
+
+@query(f"WITH {_BAGS} SELECT DISTINCT analysis_id, CAST(length(conclusion) % 5 + 1 AS INTEGER) AS rubric, round(len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 4) AS cosine, round(0.6e0 * (length(conclusion) % 5 + 1) / 5 + 0.4e0 * len(list_intersect(a, b)) / sqrt(len(a) * len(b)), 4) AS reasoning FROM v WHERE len(a) > 0 AND len(b) > 0")
+def reasoning_scores(spark, root):
+    """Reasoning score of each conclusion: the rubric a client gives and the cosine of its terms with the clause's."""
+    rows = table(spark, root, "clause_analyses").select("analysis_id", "conclusion", "clause_text").distinct().where("conclusion <> '' and clause_text <> ''")
+    bags = rows.select("analysis_id", "conclusion", F.array_distinct(t.bigrams_and_words(F.col("conclusion"))).alias("a"), F.array_distinct(t.bigrams_and_words(F.col("clause_text"))).alias("b")).where("size(a) > 0 and size(b) > 0")
+    cosine = F.size(F.array_intersect("a", "b")) / F.sqrt(F.size("a") * F.size("b"))
+    scored = m.rubric(bags.select("analysis_id", "conclusion", cosine.alias("c")), F.col("conclusion"), au.EchoClient)
+    return scored.select("analysis_id", F.col("score").alias("rubric"), F.round("c", 4).alias("cosine"), F.round(ev.reasoning(F.col("score"), F.col("c")), 4).alias("reasoning")).distinct()
+
+
 # ---- samples judged by two, sheets against keys
 @query(f"WITH v AS (SELECT DISTINCT item_id, rater_id, {_LAB.replace('{0}', 'label')} AS x FROM rater_labels), s AS (SELECT rater_id, count(*) FILTER (coalesce(x, '') = '') AS n_blank, count(*) FILTER (x <> '' AND x NOT IN ('supported', 'partial', 'unsupported')) AS n_invalid FROM v GROUP BY rater_id), k AS (SELECT DISTINCT sample_id, {_LAB.replace('{0}', 'gpt_4o')} AS y FROM cross_model_judge), j AS (SELECT rater_id, x, y FROM v JOIN k ON item_id = sample_id WHERE x IN ('supported', 'partial', 'unsupported') AND y IS NOT NULL), t AS (SELECT rater_id, x, y, count(*) AS c FROM j GROUP BY ALL), n AS (SELECT rater_id, sum(c) AS n, coalesce(sum(c) FILTER (x = y), 0) AS same FROM t GROUP BY 1), e AS (SELECT rater_id, sum(CAST(cx AS DOUBLE) * cy) AS e FROM (SELECT rater_id, x AS l, sum(c) AS cx FROM t GROUP BY 1, 2) JOIN (SELECT rater_id, y AS l, sum(c) AS cy FROM t GROUP BY 1, 2) USING (rater_id, l) GROUP BY 1), q AS (SELECT rater_id, CAST(n AS BIGINT) AS n, round(same / n, 4) AS agreement, round(CASE WHEN coalesce(e, 0) / (n * n) = 1 THEN 1 ELSE (same / n - coalesce(e, 0) / (n * n)) / (1 - coalesce(e, 0) / (n * n)) END, 4) AS kappa FROM n LEFT JOIN e USING (rater_id)) SELECT rater_id, n_blank, n_invalid, n, agreement, kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS level FROM q JOIN s USING (rater_id)")
 def label_sheet_join(spark, root):
