@@ -142,6 +142,8 @@ SQL: dict[str, str] = {
     "p10_found": f"WITH {_RUNS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM r) a JOIN (SELECT DISTINCT doc_id, h FROM r) b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p10_shared": f"""WITH {_RUNS}, g AS (SELECT doc_id, least(160, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 160)) AS c FROM (SELECT DISTINCT doc_id, i FROM r)), c AS (SELECT doc_id, sum(c) AS c FROM g GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(c, 0) / length(text), 4) ELSE 0e0 END AS shared_share FROM documents LEFT JOIN c USING (doc_id)""",
+    "p10_classes": f"""WITH {_RUNS}, c AS (SELECT doc_id, CASE WHEN length(text) >= 160 THEN min(doc_id) OVER (PARTITION BY md5(text)) ELSE doc_id END AS class_id FROM documents), k AS (SELECT DISTINCT class_id, h FROM r JOIN c USING (doc_id)),
+ l AS (SELECT class_id, count(DISTINCT other) AS n FROM (SELECT a.class_id, b.class_id AS other FROM k a JOIN k b ON a.h = b.h AND a.class_id <> b.class_id) GROUP BY 1) SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_copies, coalesce(l.n, 0) AS n_links FROM c LEFT JOIN l USING (class_id)""",
     "p7_agreement": f"""WITH v AS (SELECT 'claim' AS task, sample_id AS item, 'gpt_5_mini' AS rater, {_LABEL.replace('{0}', 'gpt_5_mini')} AS label, NULL AS voted FROM cross_model_judge UNION ALL SELECT 'claim', sample_id, 'gpt_4o', {_LABEL.replace('{0}', 'gpt_4o')}, NULL FROM cross_model_judge
  UNION ALL SELECT 'hallucination', item_key, 'human', CASE WHEN {_MEANT.replace('{0}', 'human_label')} IN ('hallucination', 'not_hallucination') THEN {_MEANT.replace('{0}', 'human_label')} ELSE {_FLAG.replace('{0}', 'human_hall')} END, NULL FROM reglab_checkpoint UNION ALL SELECT 'hallucination', item_key, 'judge', {_FLAG.replace('{0}', 'judge_hall')}, NULL FROM reglab_checkpoint
  UNION ALL SELECT t.task, item_id, rater_id, {_MEANT.replace('{0}', 'label')}, voted_at FROM rater_labels, (VALUES ('claim'), ('hallucination')) AS t(task)),
