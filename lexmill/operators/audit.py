@@ -5,7 +5,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import robust_json
 from lexmill.operators import statistics as st
+from lexmill.operators.model_steps import AUDIT
 
 
 def paired(scores: DataFrame, item: str, mode: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -43,6 +45,14 @@ def audit_prompt(claims: Column, evidence: Column) -> Column:
     return F.concat(F.lit("Say of each claim whether the evidence supports it.\n"), F.to_json(F.struct(claims.alias("claims"), evidence.alias("evidence"))))
 
 
+def judged_claims(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """One row a claim of an audit's answer, with `claim` and `status`; advisory claims, blank ones and those without a status are left out."""
+    claims = F.coalesce(robust_json(F.col(answer), AUDIT)["claims"], F.array().cast("array<struct<claim string, status string, anchor string, rationale string>>"))
+    each = rows.withColumn("_c", F.explode(claims)).drop(answer)
+    told = each.select(*[c for c in each.columns if c != "_c"], F.col("_c.claim").alias("claim"), F.lower("_c.status").alias("status"))
+    return told.where("trim(claim) <> '' and status <> '' and status <> 'advisory'")
+
+
 class EvidenceClient:
     """Answers an audit prompt from the prompt itself: a claim that is in the evidence is supported, one whose words before the first digit begin an evidence is partial."""
 

@@ -155,6 +155,18 @@ def fair_audit_by_mode(spark, root):
     return told.groupBy("basis", "mode").agg(F.count(F.lit(1)).alias("n_audited"), F.sum(n).cast("bigint").alias("n_claims"), F.round(F.avg(faithful), 4).alias("faithfulness"), F.round(F.avg(hall), 4).alias("hallucination"))
 
 
+@query(f"""WITH {_ITEM}, {_KEYS}, {_GOLD}, c AS (SELECT DISTINCT item, rag_mode AS mode, key FROM k JOIN f USING (analysis_id) WHERE key IS NOT NULL AND src <> 'mock' AND item IS NOT NULL AND rag_mode IS NOT NULL), o AS (SELECT DISTINCT item, key FROM g JOIN f USING (analysis_id) WHERE item IS NOT NULL), st AS (SELECT DISTINCT item, {_STARTS} AS s FROM o)
+SELECT c.mode, c.item, c.key AS claim, CASE WHEN o.key IS NOT NULL THEN 'supported' WHEN st.s IS NOT NULL THEN 'partial' ELSE 'unsupported' END AS status FROM c LEFT JOIN o ON o.item = c.item AND o.key = c.key LEFT JOIN st ON st.item = c.item AND st.s = regexp_extract(c.key, '^[^0-9]*')""")
+def audited_claims(spark, root):
+    """The claims of the audit against the gold basis, one row each."""
+    made = table(spark, root, "clause_analyses").groupBy("analysis_id").agg(F.min("file_id").alias("item"), F.min("llm_source").alias("src"))
+    cited = _cited_keys(spark, root).join(made.where("src <> 'mock'"), "analysis_id").where("item is not null and rag_mode is not null")
+    claims = cited.groupBy(F.col("rag_mode").alias("mode"), "item").agg(F.array_sort(F.collect_set("key")).alias("claims"))
+    gold = _gold_keys(spark, root).join(made, "analysis_id").where("item is not null").groupBy("item").agg(F.array_sort(F.collect_set("key")).alias("evidence"))
+    asked = claims.join(gold, "item", "left").select("mode", "item", au.audit_prompt(F.col("claims"), F.coalesce("evidence", F.array().cast("array<string>"))).alias("prompt"))
+    return au.judged_claims(m.complete(asked, F.col("prompt"), au.EvidenceClient, m.MOCK_AUDIT)).select("mode", "item", "claim", "status")
+
+
 _PROMPT = "CAST(length(coalesce(claim, '')) + 7 AS INTEGER)"
 
 
@@ -293,6 +305,23 @@ def oracle_hits(spark, root):
     return keys.join(texts, "x").select("id", F.concat(F.lit("GOLD::"), "law", "no").alias("chunk_id"), F.lit(1.0).alias("score"), F.concat("law", F.lit(" "), "no", F.lit("："), "content").alias("text"))
 
 
+@query("SELECT id, query_text FROM (SELECT id, min(query_text) AS query_text FROM gold_queries WHERE id IS NOT NULL GROUP BY id) ORDER BY id LIMIT 20")
+def first_gold(spark, root):
+    """The first 20 gold queries by id: a preview, which is what the limit is for."""
+    rows = table(spark, root, "gold_queries").where("id is not null").groupBy("id").agg(F.min("query_text").alias("query_text"))
+    return rows.orderBy("id").limit(20)
+
+
+@query("""WITH a AS (SELECT DISTINCT file_id, clause_index, analysis_id, coalesce(label, '') AS label, coalesce(risk_level, '') AS risk_level FROM clause_analyses WHERE llm_source <> 'mock' AND file_id IS NOT NULL AND clause_index IS NOT NULL)
+SELECT file_id, count(*) AS n_clauses, to_json(list({'clause_index': clause_index, 'analysis_id': analysis_id, 'label': label, 'risk_level': risk_level} ORDER BY clause_index, analysis_id, label, risk_level)) AS report FROM a GROUP BY file_id""")
+def nested_report(spark, root):
+    """One JSON report a contract from its live analyses, clauses in order."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = table(spark, root, "clause_analyses").where("llm_source <> 'mock' and file_id is not null and clause_index is not null").select("file_id", "clause_index", "analysis_id", blank("label"), blank("risk_level")).distinct()
+    parts = F.array_sort(F.collect_list(F.struct("clause_index", "analysis_id", "label", "risk_level")))
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_clauses"), F.to_json(parts).alias("report"))
+
+
 # ---- hits of the evidence table
 _EVID = "t AS (SELECT analysis_id, law_hits, judgement_hits FROM triangulated_evidence WHERE analysis_id IS NOT NULL), u AS (SELECT DISTINCT analysis_id, h.chunk_id AS chunk_id, round(h.score, 4) AS score, kind FROM (SELECT analysis_id, unnest(law_hits) AS h, 'law' AS kind FROM t UNION ALL SELECT analysis_id, unnest(judgement_hits), 'judgement' FROM t) WHERE h IS NOT NULL)"
 

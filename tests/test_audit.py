@@ -96,3 +96,9 @@ def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     assert sum(len(v) == 2 for v in versions.values()) == 1 and len(versions) == 4
     got = {r["k"]: r["v"] for r in s.newest(spark, target, first.schema).collect()}
     assert len(got) == 20 and got[3] == "new" and set(got.values()) == {"old", "new"}
+
+
+def test_judged_claims_leave_out_advice_and_blanks(spark):
+    answer = json.dumps({"claims": [{"claim": "a", "status": "Supported"}, {"claim": " ", "status": "partial"}, {"claim": "b", "status": "advisory"}, {"claim": "c", "status": None}]})
+    rows = spark.createDataFrame([(1, f"```json\n{answer}\n```"), (2, "no json"), (3, None)], "id int, answer string")
+    assert [tuple(r) for r in audit.judged_claims(rows).collect()] == [(1, "a", "supported")]
