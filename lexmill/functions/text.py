@@ -265,3 +265,31 @@ def widen_marks(c: Column) -> Column:
         # a protected span was matched whole: put nothing after it; a mark was matched: put the wide one
         c = F.regexp_replace(F.regexp_replace(c, f"(`|\\$)\u0001{h}", "$1"), f"\u0001{h}", full)
     return c
+
+
+# Ideographs and full-width marks, next to which half-width marks are widened.
+_WIDE = "㐀-鿿豈-\ufaff\u3000-〿\uff00-\uffef"
+
+
+def _styled_line(line: Column) -> Column:
+    pieces = F.regexp_extract_all(line, F.lit("(`[^`]*`|\\$[^$]*\\$|[^`$]+|[`$])"), F.lit(1))
+
+    def styled(piece):
+        bare = F.replace(piece, F.lit("**"), F.lit(""))
+        marked = F.regexp_replace(bare, f"(?<=[{_WIDE}])([,;:])|([,;:])(?=[{_WIDE}])", "\u0001$1$2")
+        for half, full in ((",", "，"), (";", "；"), (":", "：")):
+            marked = F.replace(marked, F.lit("\u0001" + half), F.lit(full))
+        return F.when(piece.rlike(r"(?s)^(`.*`|\$.*\$)$"), piece).otherwise(marked)
+
+    return F.array_join(F.transform(pieces, styled), "")
+
+
+def styled(c: Column) -> Column:
+    """Text without bold marks and with full-width commas, semicolons and colons next to ideographs; code spans, formulas and fenced code stay."""
+    start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("out"))
+
+    def add(state, line):
+        fence = F.ltrim(line).startswith("```")
+        return F.struct((state["code"] != fence).alias("code"), F.concat(state["out"], F.array(F.when(fence | state["code"], line).otherwise(_styled_line(line)))).alias("out"))
+
+    return F.aggregate(F.split(c, "\n"), start, add, lambda state: F.array_join(state["out"], "\n"))

@@ -432,6 +432,13 @@ def first_rule(spark, root):
     return table(spark, root, "judgement_chunks").where("content is not null").select("chunk_id", t.first_rule(F.col("content"), rules).alias("rule")).distinct()
 
 
+@query()
+def style_normalize(spark, root):
+    """Documents without bold marks and with full-width marks next to ideographs (tested against a character-wise version)."""
+    rows = table(spark, root, "documents").select("doc_id", "text", t.styled(F.col("text")).alias("styled"))
+    return rows.select("doc_id", "styled", (F.col("styled") != F.col("text")).alias("changed"))
+
+
 # ---- keyword ranking against vectors, and a re-ranked pool, over the same gold queries
 def _gold_asked(spark, root):
     return table(spark, root, "gold_queries").groupBy("id").agg(F.min("query_text").alias("query_text")).where("id is not null and query_text is not null")
