@@ -214,7 +214,7 @@ def citation_existence(spark, root):
 
 
 def _basis_sql(how):
-    one = "ct AS (SELECT law_name || '第' || regexp_extract(article_no, '[0-9]+(-[0-9]+)?') || '條' AS key, min(content) AS content FROM statute_articles GROUP BY 1)"
+    one = "ct AS (SELECT law_name || '第' || regexp_extract(article_no, '[0-9]+(-[0-9]+)?') || '條' AS key, first(content ORDER BY loaded_at, chunk_id) AS content FROM statute_articles GROUP BY 1)"
     gold = "g AS (SELECT DISTINCT analysis_id AS item, content FROM (SELECT analysis_id, unnest(grounded) AS key FROM citation_results) JOIN ct USING (key))"
     cited = "c AS (SELECT DISTINCT rag_mode AS mode, analysis_id AS item, content FROM (SELECT rag_mode, analysis_id, unnest(matched_articles || spurious) AS key FROM citation_results) JOIN ct USING (key))"
     base = "SELECT mode, item, content FROM g, (SELECT DISTINCT mode FROM c)"
@@ -224,7 +224,7 @@ def _basis_sql(how):
 
 def _basis(spark, root, how):
     key = F.concat("law_name", F.lit("第"), F.regexp_extract("article_no", "[0-9]+(-[0-9]+)?", 0), F.lit("條"))
-    texts = table(spark, root, "statute_articles").groupBy(key.alias("key")).agg(F.min("content").alias("content"))
+    texts = table(spark, root, "statute_articles").groupBy(key.alias("key")).agg(F.min_by("content", F.struct("loaded_at", "chunk_id")).alias("content"))  # the first one loaded
     rows = table(spark, root, "citation_results")
     gold = rows.select(F.col("analysis_id").alias("item"), F.explode("grounded").alias("key")).join(texts, "key").select("item", "content").distinct()
     cited = rows.select(F.col("rag_mode").alias("mode"), F.col("analysis_id").alias("item"), F.explode(F.concat("matched_articles", "spurious")).alias("key")).join(texts, "key").select("mode", "item", "content").distinct()
